@@ -166,7 +166,7 @@ def pairs_within(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray,
         if cut is not None:
             d = distance(points[index], cut[0])
             inner, outer = index[d <= cut[1]], index[d > cut[1] - radius]
-            if len(inner) + len(outer) < 1.6 * len(index):
+            if len(outer) < 0.9 * len(index) and len(inner) + len(outer) < 1.3 * len(index):  # else splitting costs more than it prunes
                 stack += [inner, outer]
                 continue
         for s in range(0, len(index), 512):
