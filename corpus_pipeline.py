@@ -17,9 +17,9 @@ from brindle.llm.simhash import near_duplicates
 from brindle.llm.suffix import without_repeats
 from brindle.llm.tokens import token_digests
 
-#: Differing bits that still link two documents here. Five-word Jaccard similarities of 0.8 are mostly
-#: within six bits of a 3-word SimHash; unrelated documents are not.
-NEAR_BITS = 6
+#: Differing bits that still link two documents here. More would find more edited copies, but a vantage-point
+#: tree prunes little beyond, and unrelated documents of one language come near (see README).
+NEAR_BITS = 3
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
