@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 
 def quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def bound(text: str, name: str, use) -> str:
+    """use(name) with the text evaluated once; a column needs no binding."""
+    if re.fullmatch(r"`[^`]+`\.`[^`]+`", text):
+        return use(text)
+    return f"(transform(array({text}), {name} -> {use(name)})[0])"
+
+
 def path_of(path: str) -> str:
     """$.key[0].other as Spark's variant path; a key is anything up to the next dot or bracket."""
     if not path.startswith("$"):
@@ -48,19 +57,18 @@ def scalar_text(v: str) -> str:
     """A scalar as text, numbers without a needless .0; objects, arrays and null are NULL."""
     kind, number = f"schema_of_variant({v})", f"variant_get({v}, '$', 'double')"
     return (
-        f"(CASE WHEN {v} IS NULL OR is_variant_null({v}) OR {kind} LIKE 'OBJECT%' OR {kind} LIKE 'ARRAY%' THEN NULL"
+        f"(CASE WHEN {v} IS NULL OR is_variant_null({v}) OR {kind} RLIKE '^(OBJECT|ARRAY)' THEN NULL"
         f" WHEN {kind} = 'DOUBLE' AND {number} = floor({number}) THEN CAST(CAST({number} AS BIGINT) AS STRING)"
         f" ELSE variant_get({v}, '$', 'string') END)"
     )
 
 
 def json_value(text: str, kind: str, path: str) -> str:
-    return scalar_text(at_path(text, kind, path))
+    return bound(at_path(text, kind, path), "v", scalar_text)
 
 
 def json_query(text: str, kind: str, path: str) -> str:
-    v = at_path(text, kind, path)
-    return f"(CASE WHEN schema_of_variant({v}) LIKE 'OBJECT%' OR schema_of_variant({v}) LIKE 'ARRAY%' THEN to_json({v}) END)"
+    return bound(at_path(text, kind, path), "v", lambda v: f"(CASE WHEN schema_of_variant({v}) RLIKE '^(OBJECT|ARRAY)' THEN to_json({v}) END)")
 
 
 def json_exists(text: str, kind: str, path: str) -> str:

@@ -57,7 +57,7 @@ def cast(text: str, kind: str, to: str) -> str:
         raise TypeError("a truth value cannot be cast")
     if to == "INT":
         if kind in ("TEXT", "JSON"):
-            return f"(CASE WHEN {text} IS NULL THEN NULL WHEN {text} RLIKE '^[+-]?[0-9]+$' THEN CAST({text} AS BIGINT) ELSE CAST(raise_error('not an integer') AS BIGINT) END)"
+            return J.bound(text, "t", lambda t: f"(CASE WHEN {t} IS NULL THEN NULL WHEN {t} RLIKE '^[+-]?[0-9]+$' THEN CAST({t} AS BIGINT) ELSE CAST(raise_error('not an integer') AS BIGINT) END)")
         return f"CAST({text} AS BIGINT)"
     if to == "FLOAT":
         return f"CAST({text} AS DOUBLE)"
