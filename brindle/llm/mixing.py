@@ -28,18 +28,18 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 1).when(quality == 1, 0).when(quality == 0, 2)
 
 
-def with_features(df: DataFrame) -> DataFrame:
-    """words (distinct, lower case, bare of outer marks), tokens, and shape features of a (doc_id, text) table."""
+def with_features(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """distinct words, tokens, and shape features of a (doc_id, text) table; ``carry`` columns stay."""
     body = F.col("body")
     n = F.greatest(F.length(body), F.lit(1)).cast("double")
     return (
-        df.select("doc_id", text_or_empty().alias("body"))
+        df.select(*carry, "doc_id", text_or_empty().alias("body"))
         .withColumn("all_words", F.filter(F.split(body, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
         .withColumn("tokens", F.size("all_words").cast("long"))
         .withColumn("words", F.array_distinct("all_words"))
         .withColumn("k", F.greatest(F.col("tokens"), F.lit(1)).cast("double"))
         .select(
-            "doc_id", "tokens", "words",
+            *carry, "doc_id", "tokens", "words",
             ((F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>!]+", ""))) / F.col("k")).alias("f_symbols"),
             ((F.length(body) - F.length(F.regexp_replace(body, r"[A-Z]+", ""))) / n).alias("f_upper"),
             (F.size("words") / F.col("k")).alias("f_distinct"),
@@ -57,8 +57,11 @@ class DomainModel:
     words: dict[str, list[float]]
     shape: list[list[tuple[float, float]]]
 
-    def posteriors(self) -> Column:
-        """array<double> over DOMAINS for a row with with_features()'s columns."""
+    def posteriors(self, featured: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+        """doc_id, tokens and p, an array<double> over DOMAINS, of with_features()'s rows.
+
+        Steps are columns of their own: an expression inside a lambda is evaluated for each element.
+        """
         absent = [sum(math.log1p(-share[d]) for share in self.words.values()) for d in range(len(DOMAINS))]
         scores = [F.lit(p + a) for p, a in zip(self.prior, absent, strict=True)]
         for d, shape in enumerate(self.shape):
@@ -71,9 +74,11 @@ class DomainModel:
             hit = F.array_intersect("words", F.array(*[F.lit(w) for w in listed]))
             table = F.map_from_arrays(F.array(*[F.lit(w) for w in listed]), F.array(*[F.array(*[F.lit(math.log(x / (1 - x))) for x in self.words[w]]) for w in listed]))
             s = F.aggregate(hit, s, lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
-        top = F.array_max(s)
-        e = F.transform(s, lambda x: F.exp(x - top))
-        return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+        keep = [*carry, "doc_id", "tokens"]
+        scored = featured.select(*keep, s.alias("s"))
+        raised = scored.select(*keep, "s", F.array_max("s").alias("top")).select(*keep, F.transform("s", lambda x: F.exp(x - F.col("top"))).alias("e"))
+        summed = raised.select(*keep, "e", F.aggregate("e", F.lit(0.0), lambda a, y: a + y).alias("z"))
+        return summed.select(*keep, F.transform("e", lambda x: x / F.col("z")).alias("p"))
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame) -> DomainModel:
@@ -152,6 +157,20 @@ def fitted_rates(members: DataFrame, targets: Sequence[float]) -> Column:
     return rate()
 
 
+def _copies() -> Column:
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("copies")), 11).cast("double") * F.lit(2.0**-53)
+    return F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("long")
+
+
+def fit_mixing(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: Sequence[float]) -> tuple[DomainModel, DataFrame, Column]:
+    """(classifier, every row's doc_id, tokens and posteriors, rate of such a row)."""
+    model = fit_domains(docs, labels)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    members = save(spark, model.posteriors(with_features(base)), "memberships")
+    have = members.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(len(DOMAINS))]).first()
+    return model, members, fitted_rates(members, [s * have[f"t{i}"] for i, s in enumerate(keep)])
+
+
 def mixing_table(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: Sequence[float] = KEEP) -> DataFrame:
     """Per row: doc_id, tokens, p_clean, p_toxic, p_low, rate, copies.
 
@@ -160,17 +179,20 @@ def mixing_table(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep:
     they are; a null doc_id is rounded by the hash of null; equal rows get equal rates; without
     labels all documents have one posterior; other columns are ignored; empty in, empty out.
     """
-    model = fit_domains(docs, labels)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    members = save(spark, with_features(base).select("doc_id", "tokens", model.posteriors().alias("p")), "memberships")
-    have = members.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(len(DOMAINS))]).first()
-    rate = fitted_rates(members, [s * have[f"t{i}"] for i, s in enumerate(keep)])
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("copies")), 11).cast("double") * F.lit(2.0**-53)
-    rated = members.select("doc_id", "tokens", "p", rate.alias("rate"))
-    return rated.select(
-        "doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate",
-        (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"),
-    )
+    _, members, rate = fit_mixing(spark, docs, labels, keep)
+    return members.select("doc_id", "tokens", "p", rate.alias("rate")).select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", _copies().alias("copies"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: Sequence[float] = KEEP) -> DataFrame:
+    """docs with each row as often as its ``copies`` say. Posteriors are worked out again beside the
+    row's other columns, which is cheaper than a shuffle of all texts to join them."""
+    model, _, rate = fit_mixing(spark, docs, labels, keep)
+    carry = [f"__c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, carry, strict=True)], F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    rated = model.posteriors(with_features(rows, carry), carry).select(*carry, "doc_id", rate.alias("rate")).select(*carry, _copies().alias("copies"))
+    # outer: a test of the array's size would be pushed below with all of its expressions
+    out = rated.select(*carry, F.explode_outer(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one")).where("one IS NOT NULL")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, carry, strict=True)])
 
 
 def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
