@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.bpe import default_tokenizer_path
 from brindle.llm.common import save
-from brindle.llm.mixing import mixing_table
+from brindle.llm.mixing import mixed
 from brindle.llm.quality import keep_quality, train_line_crf
 from brindle.llm.simhash import near_duplicates
 from brindle.llm.suffix import without_repeats
@@ -40,11 +40,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as its rate says; rates make the domains' expected tokens meet the targets."""
-    rates = mixing_table(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    copies = save(spark, rates.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("__copies")), "copies")
-    n = F.coalesce("__copies", F.lit(1))
-    rows = docs.join(copies, "doc_id", "left").where(n > 0)
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
