@@ -17,6 +17,7 @@ TELLTALE_WORDS = 96  # words whose presence counts, the most telling ones
 MIN_DOCS = 8  # labelled documents that must have a telltale word
 ROUNDS = 40
 TOLERANCE = 1e-9
+DAMPING = 1e-4
 DOMAINS = ("clean", "toxic", "low")
 #: Wanted expected tokens of each domain, as a share of what it has.
 KEEP = (1.0, 0.25, 0.5)
@@ -152,7 +153,8 @@ def fitted_rates(members: DataFrame, targets: Sequence[float]) -> Column:
         gap = [t - sums[f"a{i}"] for i, t in enumerate(targets)]
         if max(abs(g) for g in gap) <= TOLERANCE * max(1.0, *targets):
             break
-        gram = [[sums[f"m{min(i, j)}_{max(i, j)}"] + (1e-9 * max(1.0, sums[f"m{i}_{i}"]) if i == j else 0.0) for j in range(k)] for i in range(k)]
+        damp = DAMPING * max(1.0, *[sums[f"m{i}_{i}"] for i in range(k)])  # domains that hardly exist must not throw the rates far
+        gram = [[sums[f"m{min(i, j)}_{max(i, j)}"] + (damp if i == j else 0.0) for j in range(k)] for i in range(k)]
         steps.append(_solve(gram, gap))
     return rate()
 

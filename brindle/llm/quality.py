@@ -94,7 +94,7 @@ class LineCRF:
 
 def fit_crf(sequences: list[np.ndarray], labels: list[int]) -> LineCRF:
     """Maximum conditional likelihood by Adam; every line of a sequence carries its document's label."""
-    size = sequences[0].shape[1] if sequences else 1
+    size = line_features([b""], np.zeros(1, bool)).shape[1]
     crf = LineCRF(np.zeros((size, 2)), np.zeros((2, 2)))
     if len(set(labels)) < 2:
         return crf
