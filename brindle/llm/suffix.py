@@ -34,7 +34,7 @@ from .common import documents, partitions, save, work_dir
 LENGTH = 50  # bytes of a repeated string
 SEED = 20  # bytes of an anchor
 SPAN = LENGTH - SEED  # an anchor lies 0 to SPAN bytes after its window's start
-KEY = LENGTH + SPAN + 3  # on, back, their valid lengths, a closing 1
+KEY = LENGTH + SPAN + 3  # on, back, how many of each count, a closing 1
 CHUNK_BYTES = 4 << 20
 RANGE_BYTES = 8 << 20  # bytes of text for one range of keys
 SAMPLE_ROWS = 4096  # chunks that give keys for the ranges' bounds, at most
@@ -113,12 +113,13 @@ def _spot(fp: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 # -- sorted runs ---------------------------------------------------------------------------------
 
 
-def suffix_keys(data: np.ndarray, q: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Keys (n x KEY bytes) of anchors at q in documents [start, end): the bytes on, the bytes before in
-    reverse, how many of each there are, and a 1 so that no key ends in zero."""
+def suffix_keys(data: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Keys (n x KEY bytes) of anchors at q whose windows start low to high bytes before: the bytes on,
+    the bytes before in reverse, how many of each these windows have, and a 1 so that no key ends in
+    zero. Bytes outside the windows are zero; low and high follow from the key."""
     ahead, back = np.arange(LENGTH), np.arange(1, SPAN + 1)
     out = np.zeros((len(q), KEY), np.uint8)
-    on, before = np.minimum(end - q, LENGTH), np.minimum(q - start, SPAN)
+    on, before = LENGTH - low, high
     padded = np.concatenate([data, np.zeros(LENGTH, np.uint8)])
     out[:, :LENGTH] = np.where(ahead < on[:, None], padded[q[:, None] + ahead], 0)
     out[:, LENGTH : LENGTH + SPAN] = np.where(back <= before[:, None], padded[np.maximum(q[:, None] - back, 0)], 0)
@@ -126,6 +127,15 @@ def suffix_keys(data: np.ndarray, q: np.ndarray, start: np.ndarray, end: np.ndar
     return out
 
 
+def squeezed(raw: bytes) -> bytes:
+    """raw, compressed before it is written and exchanged; its size comes first."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
+
+def unsqueezed(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True) if packed else b""
+
+
 def front_code(keys: np.ndarray) -> tuple[bytes, bytes]:
     """(common prefix with the key before, bytes after it) of sorted keys."""
     if not len(keys):
@@ -228,14 +238,14 @@ def window_minima(keys: np.ndarray, group: np.ndarray, low: np.ndarray, high: np
 
 # -- the distributed sort ------------------------------------------------------------------------
 
-_RUN = "chunk long, range int, common binary, rest binary, least binary, low binary, high binary, several binary"
+_RUN = "chunk long, range int, common binary, rest binary, least binary, several binary"
 _BATCH_KEYS = 20_000
 
 
 def _merge_range(table: pa.Table) -> pa.Table:
     """The answers of one key range: per chunk and key of its run, the least document of each window."""
     chunk = table.column("chunk").to_pylist()
-    col = {c: [x.as_py() for x in table.column(c)] for c in ("common", "rest", "least", "low", "high", "several")}
+    col = {c: [unsqueezed(x.as_py()) for x in table.column(c)] for c in ("common", "rest", "least", "several")}
     matrices, runs = [], []
     for common, rest in zip(col["common"], col["rest"], strict=True):
         lcp, keys = front_decode(common, rest)
@@ -243,7 +253,6 @@ def _merge_range(table: pa.Table) -> pa.Table:
         matrices.append(keys)
         runs.append(([flat[i : i + KEY] for i in range(0, len(flat), KEY)], lcp.tolist()))
     least = [np.frombuffer(x, "<i8") for x in col["least"]]
-    low, high = ([np.frombuffer(x, np.uint8).astype(np.int64) for x in col[c]] for c in ("low", "high"))
     several = [np.frombuffer(x, np.uint8) for x in col["several"]]
     same: list[list] = [[[], []] for _ in chunk]  # index, least document for all its windows
     each: list[list] = [[[], []] for _ in chunk]  # index, least document by window
@@ -269,8 +278,7 @@ def _merge_range(table: pa.Table) -> pa.Table:
         minima = None
         if len(many):
             k = np.stack([matrices[r][i] for r, i in (ctx[m] for m in many.tolist())])
-            lo, hi = (np.array([x[r][i] for r, i in (ctx[m] for m in many.tolist())]) for x in (low, high))
-            minima = window_minima(k, g[many], lo, hi, best[many])
+            minima = window_minima(k, g[many], LENGTH - k[:, -3].astype(np.int64), k[:, -2].astype(np.int64), best[many])
             back = np.full(len(ctx), -1)
             back[many] = np.arange(len(many))
         entries = np.bincount(own, minlength=len(ctx))
@@ -300,7 +308,7 @@ def _merge_range(table: pa.Table) -> pa.Table:
     keep = [j for j in range(len(chunk)) if same[j][0] or each[j][0]]
 
     def pack(values: list, kind: str) -> bytes:
-        return np.array(values, kind).tobytes()
+        return squeezed(np.array(values, kind).tobytes())
 
     return pa.table(
         {
@@ -309,7 +317,7 @@ def _merge_range(table: pa.Table) -> pa.Table:
             "same_at": pa.array([pack(same[j][0], "<u4") for j in keep], pa.binary()),
             "same": pa.array([pack(same[j][1], "<i8") for j in keep], pa.binary()),
             "each_at": pa.array([pack(each[j][0], "<u4") for j in keep], pa.binary()),
-            "each": pa.array([np.array(each[j][1], "<i8").tobytes() for j in keep], pa.binary()),
+            "each": pa.array([pack(each[j][1], "<i8") for j in keep], pa.binary()),
         }
     )
 
@@ -354,12 +362,11 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
         bucket, rest = _spot(fp[first], ranges)
         rows = {"bucket": [], "chunk": [], "single": [], "shared": []}
         cuts = np.searchsorted(bucket, np.arange(ranges + 1))
-        for b in range(ranges):
+        for b in np.unique(bucket).tolist():
             s = slice(cuts[b], cuts[b + 1])
-            if s.stop > s.start:
-                rows["bucket"].append(b)
-                rows["single"].append(rest[s][~shared[s]].astype("<u4").tobytes())
-                rows["shared"].append(rest[s][shared[s]].astype("<u4").tobytes())
+            rows["bucket"].append(b)
+            rows["single"].append(rest[s][~shared[s]].astype("<u4").tobytes())
+            rows["shared"].append(rest[s][shared[s]].astype("<u4").tobytes())
         if len(q):  # keys that place the ranges' bounds
             pick = q[np.argsort(_stir(q.astype(np.uint64)))[:SAMPLE_KEYS]]
             rows["bucket"].append(-1)
@@ -390,7 +397,7 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
 
     def sort_chunk(key: tuple, table: pa.Table, lives: pa.Table) -> pa.Table:
         names = [f.split()[0] for f in _RUN.split(", ")]
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
         rows: list[list] = [[] for _ in names]
         if table.num_rows and lives.num_rows:
             ids, sizes, data = _body(table)
@@ -404,30 +411,28 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
             q, p1, p2 = q[hit], p1[hit], p2[hit]
             if len(q):
                 d = np.searchsorted(ends, q, "right")
-                matrix = suffix_keys(data, q, ends[d] - sizes[d], ends[d])
+                matrix = suffix_keys(data, q, q - p2, q - p1)
                 keys, where, back = np.unique(matrix.reshape(-1).view(f"S{KEY}"), return_index=True, return_inverse=True)
                 least = np.full(len(keys), (1 << 63) - 1)
                 most = np.full(len(keys), LOWEST)
                 np.minimum.at(least, back, ids[d])
                 np.maximum.at(most, back, ids[d])
-                low, high = (q - p2)[where], (q - p1)[where]
                 matrix = matrix[where]
                 cut = np.searchsorted(bounds, np.ascontiguousarray(matrix[:, :SEED]).view(f"S{SEED}").ravel(), "right")
                 edges = np.searchsorted(cut, np.arange(len(bounds) + 2))
-                for r in range(len(bounds) + 1):
+                for r in np.unique(cut).tolist():
                     s = slice(edges[r], edges[r + 1])
-                    if s.stop > s.start:
-                        common, tail = front_code(matrix[s])
-                        for c, v in zip(rows, (key[0].as_py(), r, common, tail, least[s].astype("<i8").tobytes(), low[s].astype(np.uint8).tobytes(), high[s].astype(np.uint8).tobytes(), (most[s] > least[s]).astype(np.uint8).tobytes()), strict=True):
-                            c.append(v)
+                    common, tail = front_code(matrix[s])
+                    for c, v in zip(rows, (key[0].as_py(), r, *map(squeezed, (common, tail, least[s].astype("<i8").tobytes(), (most[s] > least[s]).astype(np.uint8).tobytes()))), strict=True):
+                        c.append(v)
                 spot = (back - edges[cut[back]]).astype("<u4")  # the key's place in its run
-                for c, v in zip(rows, (key[0].as_py(), -1, q.astype("<i8").tobytes(), spot.tobytes(), cut[back].astype("<i4").tobytes(), (q - p2).astype(np.uint8).tobytes(), (q - p1).astype(np.uint8).tobytes(), b""), strict=True):
+                for c, v in zip(rows, (key[0].as_py(), -1, *map(squeezed, (q.astype("<i8").tobytes(), spot.tobytes(), cut[back].astype("<i4").tobytes(), np.concatenate([q - p2, q - p1]).astype(np.uint8).tobytes()))), strict=True):
                     c.append(v)
         return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
 
-    runs = save(spark, bodies.groupBy("__chunk").cogroup(alive.groupBy("chunk")).applyInArrow(sort_chunk, _RUN), "suffix-runs")
+    runs = save(spark, bodies.groupBy("__chunk").cogroup(alive.groupBy("chunk")).applyInArrow(sort_chunk, _RUN), "suffix-runs", compression="uncompressed")
     answers = runs.where("range >= 0").groupBy("range").applyInArrow(_merge_range, "chunk long, range int, same_at binary, same binary, each_at binary, each binary")
-    places = runs.where("range = -1").select("chunk", "range", F.col("common").alias("same_at"), F.col("rest").alias("same"), F.col("least").alias("each_at"), F.concat("low", "high").alias("each"))
+    places = runs.where("range = -1").select("chunk", "range", F.col("common").alias("same_at"), F.col("rest").alias("same"), F.col("least").alias("each_at"), F.col("several").alias("each"))
     back = places.unionByName(answers)
     kept_cols = [f for f in whole.schema if f.name.startswith("c")]
 
@@ -437,7 +442,7 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
         edge = np.zeros(len(data) + 1, np.int32)
         by_range = {r: i for i, r in enumerate(found.column("range").to_pylist())}
         if len(by_range) > 1 and -1 in by_range:
-            cell = lambda i, c, kind: np.frombuffer(found.column(c)[i].as_py(), kind)
+            cell = lambda i, c, kind: np.frombuffer(unsqueezed(found.column(c)[i].as_py()), kind)
             o = by_range.pop(-1)
             q, spot, rng = cell(o, "same_at", "<i8"), cell(o, "same", "<u4").astype(np.int64), cell(o, "each_at", "<i4")
             low, high = cell(o, "each", np.uint8).astype(np.int64).reshape(2, -1)
