@@ -13,14 +13,10 @@ from brindle.llm.bpe import default_tokenizer_path
 from brindle.llm.common import save
 from brindle.llm.mixing import mixed
 from brindle.llm.quality import keep_quality, train_line_crf
-from brindle.llm.simhash import near_duplicates
+from brindle.llm.simhash import edited_copies
 from brindle.llm.suffix import without_repeats
 from brindle.llm.tokens import token_digests
 
-#: Differing bits that still link two documents here. More would find more edited copies, but a vantage-point
-#: tree prunes little beyond, and unrelated documents of one language come near (see README).
-NEAR_BITS = 3
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or have too small a share of content lines go."""
@@ -28,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays, as do rows without an id."""
-    gone = near_duplicates(spark, docs, radius=NEAR_BITS).where("doc_id <> component_id").select("doc_id").distinct()
+    """Of each group of copies, edited ones included, the document with the smallest id stays, as do rows without an id."""
+    gone = edited_copies(spark, docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(save(spark, gone, "near-copies"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -38,6 +38,7 @@ def operators(spark, labels):
         "gif": lambda d: gif.media_digests(gif.media_column(d)),
         "frames": lambda d: gif.frame_table(gif.media_column(d)),
         "simhash": lambda d: simhash.near_duplicates(spark, d),
+        "edits": lambda d: simhash.edited_copies(spark, d.where("doc_id IS NOT NULL")),
         "licences": lambda d: licenses.scan_licenses(spark, d),
         "digests": lambda d: tokens.token_digests(d, path),
         "files": lambda d: tokens.token_file_index(spark, d, path),
@@ -48,7 +49,7 @@ def operators(spark, labels):
     }
 
 
-@pytest.mark.parametrize("name", ["shard", "suffix", "cut", "gif", "frames", "simhash", "licences", "digests", "files", "quality", "kept", "mixing", "mixed"])
+@pytest.mark.parametrize("name", ["shard", "suffix", "cut", "gif", "frames", "simhash", "edits", "licences", "digests", "files", "quality", "kept", "mixing", "mixed"])
 def test_odd_and_empty_tables(spark, odd, labels, name):
     run = operators(spark, labels)[name]
     assert run(odd.limit(0)).count() == 0
@@ -167,6 +168,39 @@ def test_simhash_by_brute_force(spark):
     assert {d: (x.fingerprint, x.component_id) for d, x in got.items()} == {d: (format(fp[d], "016x"), root[d]) for d in fp}
 
 
+@pytest.mark.parametrize("block", [None, 40])
+def test_edited_copies(spark, monkeypatch, block):
+    """Against all pairs by the definition, and against exact five-word Jaccard similarity."""
+    if block:
+        monkeypatch.setattr(simhash, "BLOCK_POINTS", block)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for base in range(60):
+        text = [r.choice(words) for _ in range(r.choice((60, 250, 900)))]
+        docs.append(text)
+        for _ in range(r.choice((0, 1, 6))):
+            copy = list(text)
+            for _ in range(len(text) // r.choice((8, 50, 90))):
+                copy[r.randrange(len(text))] = r.choice(words)
+            docs.append(copy)
+    docs += [docs[0], docs[5], []]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)] + [(5, " ".join(docs[5])), (None, "x")], "doc_id long, text string")
+    rows = simhash.edited_copies(spark, df).collect()
+    got = {x.doc_id: x.component_id for x in rows}
+    assert len(rows) == len(docs) + 1 and len(got) == len(docs)
+    fp = simhash.edit_fingerprints([" ".join(d).encode() for d in docs])
+    near = (np.bitwise_count(fp[:, None, : simhash.EDIT_TABLES] ^ fp[None, :, : simhash.EDIT_TABLES]) <= simhash.RADIUS).any(axis=2)
+    near &= np.bitwise_count(fp[:, None, simhash.EDIT_TABLES :] ^ fp[None, :, simhash.EDIT_TABLES :]).sum(axis=2, dtype=int) <= simhash.EDIT_BITS
+    root = simhash.local_roots(len(docs), *np.nonzero(near))
+    assert got == dict(enumerate(root.tolist()))
+    sets = [{tuple(d[k : k + 5]) for k in range(max(1, len(d) - 4))} for d in docs]
+    similar = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(len(docs)) for j in range(i)]
+    close = [got[i] == got[j] for i, j, s in similar if s >= 0.8]
+    assert len(close) > 20 and np.mean(close) > 0.8
+    assert not any(got[i] == got[j] for i, j, s in similar if s < 0.3)
+
+
 @pytest.mark.parametrize("radius", [2, 3, 6])
 def test_vantage_trees_find_all_pairs(radius):
     rng = np.random.default_rng(3)
