@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, save
+from .common import documents, release_memory, save
 from .graph import components, local_roots
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
@@ -25,6 +25,7 @@ EDIT_TABLES, EDIT_SHINGLE_WORDS, EDIT_WIDTH = 8, 5, 8
 EDIT_BITS = 90
 BLOCK_POINTS = 8192  # a larger shard is compared block by block
 GROUP_BYTES = 1 << 21
+PAIR_CELLS = 1 << 20  # distances computed at once
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _LANES = np.ascontiguousarray(_BITS).view(np.uint64).ravel()  # bit j of a byte goes to byte j
@@ -215,8 +216,9 @@ def pair_chunks(points: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.n
             if len(outer) < 0.9 * len(index) and len(inner) + len(outer) < 1.3 * len(index):  # else splitting costs more than it prunes
                 stack += [inner, outer]
                 continue
-        for s in range(0, len(index), 512):
-            part = index[s : s + 512]
+        rows = 1 + PAIR_CELLS // (len(index) + 1)
+        for s in range(0, len(index), rows):
+            part = index[s : s + rows]
             i, j = np.nonzero(distance(points[part][:, None], points[index][None, :]) <= radius)
             i, j = part[i], index[j]
             yield i[i < j], j[i < j]
@@ -310,6 +312,7 @@ def edited_copies(
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [row.tobytes() for part in _parts(b.column(1)) if part for row in edit_fingerprints(part)]
+            release_memory()
             yield pa.record_batch([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "sig"])
 
     def unpacked(column: pa.Array) -> np.ndarray:
@@ -340,6 +343,7 @@ def edited_copies(
         wide = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(-1, EDIT_WIDTH)
         root = edit_roots(group.column("fp").to_numpy().view(np.uint64), wide, radius, bits)
         some = np.flatnonzero(root != np.arange(len(root)))
+        release_memory()
         return pa.table({"u": node[some], "v": node[root[some]]})
 
     routed = points.select("sig", "id").mapInArrow(spread, "tree int, shard int, fp long, id long, wide binary")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, save, work_dir
+from .common import documents, partitions, release_memory, save, work_dir
 
 LENGTH = 50  # bytes of a repeated string
 SEED = 20  # bytes of an anchor
@@ -372,6 +372,7 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
             rows["bucket"].append(-1)
             rows["single"].append(b"".join(data[p : p + SEED].tobytes() for p in pick.tolist()))
             rows["shared"].append(b"")
+        release_memory()
         rows["chunk"] = [key[0].as_py()] * len(rows["bucket"])
         return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "chunk": pa.array(rows["chunk"], pa.int64()), "single": pa.array(rows["single"], pa.binary()), "shared": pa.array(rows["shared"], pa.binary())})
 
@@ -428,6 +429,7 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
                 spot = (back - edges[cut[back]]).astype("<u4")  # the key's place in its run
                 for c, v in zip(rows, (key[0].as_py(), -1, *map(squeezed, (q.astype("<i8").tobytes(), spot.tobytes(), cut[back].astype("<i4").tobytes(), np.concatenate([q - p2, q - p1]).astype(np.uint8).tobytes()))), strict=True):
                     c.append(v)
+        release_memory()
         return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
 
     runs = save(spark, bodies.groupBy("__chunk").cogroup(alive.groupBy("chunk")).applyInArrow(sort_chunk, _RUN), "suffix-runs", compression="uncompressed")
