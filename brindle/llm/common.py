@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch
 #: ASCII white space, as the contracts name it: \x20 and \x09-\x0D.
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -28,9 +29,17 @@ def work_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", "file://" + shared)
         spark.sparkContext.setCheckpointDir("file://" + shared)
+    bounded_batches(spark)
     return spark.conf.get("spark.checkpoint.dir")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES in this session, on both sides of the pipe to a Python worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def save(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, lost executors cost nothing."""
     path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -46,6 +55,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded_batches, documents
 
 SYMBOLS = b"#*$%&|<>"
 UPPER, DIGITS, CLOSERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".!?:;,"
@@ -215,6 +215,7 @@ def train_line_crf(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> L
 
     Without both classes the model is neutral: ties go to content and the base rules alone decide.
     """
+    bounded_batches(spark)
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     mix = F.xxhash64("doc_id")
     picks = [r for q in (0, 1) for r in known.where(F.col("quality") == q).orderBy(mix, "doc_id").limit(TRAIN_DOCS).collect()]
