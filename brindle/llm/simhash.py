@@ -23,7 +23,8 @@ LEAF_POINTS = 48
 EDIT_TABLES, EDIT_SHINGLE_WORDS, EDIT_WIDTH = 8, 5, 8
 #: Two five-word sets of Jaccard similarity 0.8 differ in 77 of the 512 bits on average, with a deviation of 8.
 EDIT_BITS = 90
-BLOCK_POINTS = 8192  # a larger shard is compared block by block
+EDIT_SHARD_POINTS = 4096  # as SHARD_POINTS; fewer boundaries, fewer copies of wide fingerprints
+BLOCK_POINTS = 65_536  # a larger shard is compared block by block
 GROUP_BYTES = 1 << 21
 PAIR_CELLS = 1 << 20  # distances computed at once
 
@@ -323,7 +324,7 @@ def edited_copies(
     points = save(spark, docs.groupBy("sig").agg(F.min("doc_id").alias("id")), "edit-points")
     picked = points.select("sig").orderBy(F.xxhash64("sig")).limit(SAMPLE_POINTS).collect()
     sample = unpacked(pa.array([r["sig"] for r in picked], pa.binary()))
-    shards = -(-points.count() // SHARD_POINTS)
+    shards = -(-points.count() // EDIT_SHARD_POINTS)
     trees = [top_tree(sample[:, t], shards, radius)[0] for t in range(EDIT_TABLES)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
