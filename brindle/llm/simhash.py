@@ -250,6 +250,15 @@ def edit_roots(points: np.ndarray, wide: np.ndarray, radius: int, bits: int) ->
 # -- the operator --------------------------------------------------------------------------------
 
 
+def boundary_sample(distinct: DataFrame, column: str, n: int) -> list:
+    """At most SAMPLE_POINTS of n distinct rows, those of the least hashes. A bound on the hash leaves about twice
+    as many before they are ordered, so that no part of the table sends the driver a whole sample of its own."""
+    mixed = F.xxhash64(column)
+    share = min(1.0, 2 * SAMPLE_POINTS / max(1, n))
+    few = distinct if share == 1.0 else distinct.where(mixed < F.lit(int((share - 0.5) * 2**64)))
+    return few.orderBy(mixed).limit(SAMPLE_POINTS).collect()
+
+
 def linked_fingerprints(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(node, root) over the distinct fingerprints fp: links of at most ``radius`` bits, followed to the end.
 
@@ -260,7 +269,7 @@ def linked_fingerprints(spark: SparkSession, distinct: DataFrame, radius: int =
     n = distinct.count()
     if n < 2:
         return spark.createDataFrame([], "node long, root long")
-    picked = distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE_POINTS).collect()
+    picked = boundary_sample(distinct, "fp", n)
     tree, _ = top_tree(np.array([r["fp"] for r in picked], np.int64).view(np.uint64), -(-n // SHARD_POINTS), radius)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,9 +331,10 @@ def edited_copies(
     rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.col(text).cast("string"), "UTF-8").alias("text"))
     docs = save(spark, rows.mapInArrow(sign, "doc_id long, sig binary"), "edit-fingerprints")
     points = save(spark, docs.groupBy("sig").agg(F.min("doc_id").alias("id")), "edit-points")
-    picked = points.select("sig").orderBy(F.xxhash64("sig")).limit(SAMPLE_POINTS).collect()
+    n = points.count()
+    picked = boundary_sample(points.select("sig"), "sig", n)
     sample = unpacked(pa.array([r["sig"] for r in picked], pa.binary()))
-    shards = -(-points.count() // EDIT_SHARD_POINTS)
+    shards = -(-n // EDIT_SHARD_POINTS)
     trees = [top_tree(sample[:, t], shards, radius)[0] for t in range(EDIT_TABLES)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
