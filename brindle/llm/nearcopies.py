@@ -1,4 +1,4 @@
-"""Near copies: MinHash bands over five-word shingles gather candidates."""
+"""Near copies: MinHash bands over five-word shingles gather candidates, exact Jaccard similarity links them."""
 
 from __future__ import annotations
 
@@ -10,13 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import release_memory, save
 from .graph import components
+from .simhash import _parts
 
 SHINGLE_WORDS, SEED = 5, 42
 #: Bands of ROWS MinHashes each: two sets of Jaccard similarity 0.8 share none of them with probability
 #: (1 - 0.8^6)^40, about 5 in a million, wherever the edits are.
 BANDS, ROWS = 40, 6
+NUMERATOR, DENOMINATOR = 4, 5  # least similarity, as a fraction: 0.8
+BLOCK_SHINGLES = 1 << 20  # a cluster with more is compared block by block
 DIGEST = 16  # bytes that stand for a set
 
 _ODD = np.random.default_rng(SEED).integers(1 << 31, size=(2, BANDS * ROWS), dtype=np.uint32) << np.uint32(1) | np.uint32(1)
@@ -63,6 +66,59 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def exact_links(sets: list[np.ndarray]) -> np.ndarray:
+    """The smallest index each set is linked to, links being pairs of Jaccard similarity 0.8 or more, followed to the end.
+
+    A set's partners hold at least 0.8 of it, so at least one of any fifth of its members and one more: the rarest
+    of these name the sets whose overlap is counted. Sets that are linked already are not counted again.
+    """
+    n = len(sets)
+    root = np.arange(n)
+    size = np.array([len(s) for s in sets], np.int64)
+    if n < 2 or not size.any():
+        return np.zeros(n, np.int64) if n else root
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    token = token.astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(size)])
+    often = np.bincount(token)
+    posting = np.repeat(np.arange(n, dtype=np.int32), size)[np.argsort(token, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(often)])
+    open_ = np.ones(n, bool)
+    mark = np.zeros(len(often), np.uint8)
+    for seed in range(n):
+        if not open_[seed]:
+            continue
+        open_[seed] = False
+        queue = [seed]
+        while queue:
+            i = queue.pop()
+            mine = token[first[i] : first[i + 1]]
+            k = len(mine) - -(-NUMERATOR * len(mine) // DENOMINATOR) + 1
+            rare = mine[np.argpartition(often[mine], k - 1)[:k]] if 0 < k < len(mine) else mine
+            rare = rare[often[rare] > 1]
+            near = np.zeros(n, bool)
+            if len(mine):
+                for t in rare:
+                    near[posting[begin[t] : begin[t + 1]]] = True
+            else:
+                near = size == 0
+            near &= open_ & (DENOMINATOR * np.minimum(size, size[i]) >= NUMERATOR * np.maximum(size, size[i]))
+            other = np.flatnonzero(near)
+            mark[mine] = 1
+            for part in np.array_split(other, 1 + int(size[other].sum()) // (1 << 20)) if len(mine) else ():
+                if not len(part):
+                    continue
+                held = np.concatenate([token[first[j] : first[j + 1]] for j in part])
+                both = np.add.reduceat(mark[held], np.cumsum(size[part]) - size[part], dtype=np.int64)
+                near[part] = (NUMERATOR + DENOMINATOR) * both >= NUMERATOR * (size[part] + size[i])
+            mark[mine] = 0
+            other = np.flatnonzero(near)
+            open_[other] = False
+            root[other] = seed
+            queue += other.tolist()
+    return root
+
+
 def candidate_clusters(spark: SparkSession, points: DataFrame) -> DataFrame:
     """(id, cluster) of the points (id, sig) that share a band with another one, followed to the end."""
 
@@ -77,3 +133,63 @@ def candidate_clusters(spark: SparkSession, points: DataFrame) -> DataFrame:
     links = rows.join(save(spark, least, "band-stars"), "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
     tied = save(spark, components(spark, links), "candidate-roots")
     return tied.select(F.col("node").alias("id"), F.col("root").alias("cluster")).unionAll(tied.select(F.col("root").alias("id"), F.col("root").alias("cluster")).distinct())
+
+
+def near_copies(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) per row: texts whose five-word shingles have a Jaccard similarity of 0.8 or more are
+    linked, links are followed to the end, and component_id is the smallest doc_id.
+
+    Candidates are texts that share a MinHash band, gathered in clusters; the texts of a cluster are compared
+    exactly (by 64-bit hashes of shingles) in one task, or block against block if it is large. Equal sets are one
+    point. Tasks report stars, never pairs.
+
+    Cases: texts that are null or have no words are all linked; rows without a doc_id are left out;
+    equal rows give equal rows; other columns are ignored; empty in, empty out.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[bytes] = []
+            for part in _parts(b.column(1)):
+                sets = shingle_sets(part)
+                rows += [xxhash.xxh3_128_digest(s.tobytes(), SEED) + k.tobytes() for s, k in zip(sets, band_keys(sets), strict=True)]
+            release_memory()
+            yield pa.record_batch([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "sig"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for part in _parts(b.column(2)):
+                sets = shingle_sets(part)
+                kept = b.slice(at, len(part))
+                at += len(part)
+                yield pa.record_batch([kept.column(0), kept.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cluster", "id", "n", "members"])
+            release_memory()
+
+    def stars(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        node = group.column("id").to_numpy()
+        root = exact_links([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("members")])
+        some = np.flatnonzero(root != np.arange(len(root)))
+        out = pa.table({"u": node[some], "v": node[root[some]]})
+        release_memory()
+        return out
+
+    texts = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.col(text).cast("string"), "UTF-8").alias("text"))
+    docs = save(spark, texts.mapInArrow(sign, "doc_id long, sig binary"), "shingle-signs")
+    points = save(spark, docs.groupBy("sig").agg(F.min("doc_id").alias("id")), "shingle-points")
+    clusters = save(spark, candidate_clusters(spark, points), "candidate-clusters")
+    gathered = texts.join(clusters, texts["doc_id"] == clusters["id"]).select("cluster", "id", "text")
+    sets = save(spark, gathered.mapInArrow(shingles, "cluster long, id long, n long, members binary"), "shingle-sets", compression="uncompressed")
+    blocks = F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int")
+    sizes = save(spark, sets.groupBy("cluster").agg(F.greatest(blocks, F.lit(1)).alias("blocks")), "cluster-sizes")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = (
+        sets.join(sizes, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "members")
+    )
+    links = dealt.groupBy("cluster", "low", "high").applyInArrow(stars, "u long, v long")
+    roots = save(spark, components(spark, links), "copy-roots")
+    group = F.coalesce(F.col("root"), F.col("id")).alias("component_id")
+    groups = save(spark, points.join(roots, points["id"] == roots["node"], "left").select("sig", group), "copy-groups")
+    return docs.join(groups, "sig").select("doc_id", "component_id")

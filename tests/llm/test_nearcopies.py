@@ -1,10 +1,11 @@
-"""Near-copy candidates against exact Jaccard similarity, by kind of edit."""
+"""Near copies against all pairs by exact Jaccard similarity, by kind of edit."""
 
 import random
 
 import numpy as np
+import pytest
 
-from brindle.llm import nearcopies
+from brindle.llm import nearcopies, simhash
 
 
 def similarity(a, b):
@@ -12,6 +13,11 @@ def similarity(a, b):
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
+def roots_of(docs):
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if similarity(docs[i], docs[j]) >= 0.8]
+    return simhash.local_roots(len(docs), *(np.array([p[k] for p in near], np.int64) for k in (0, 1)))
+
+
 def edited(r, words, kind, share):
     n = max(1, int(len(words) * share))
     new = [f"n{r.randrange(10**9)}" for _ in range(n)]
@@ -47,6 +53,10 @@ def corpus(seed, bases=12):
     return docs
 
 
+def frame(spark, docs):
+    return spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+
+
 def test_bands_bring_together_every_kind_of_edit():
     """Appended and cut tails move every word fingerprint; bands must find 0.8 whatever the edit."""
     docs = corpus(1, 40)
@@ -72,3 +82,26 @@ def test_band_rate():
             a, b = nearcopies.band_keys([np.sort(h[: 9 * n]), np.sort(h[n:])])
             hits.append((a == b).mean())
     assert abs(np.mean(hits) - 0.8**nearcopies.ROWS) < 0.03 and min(hits) > 0
+
+
+@pytest.mark.parametrize("block", [None, 3000])
+def test_near_copies_are_exact(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(nearcopies, "BLOCK_SHINGLES", block)
+    docs = corpus(2)
+    r = random.Random(3)
+    base = [f"g{r.randrange(900)}" for _ in range(300)]
+    docs += [edited(r, base, "replaced", r.choice((0.1, 0.3))) for _ in range(25)]  # one large group, linked and not
+    docs += [docs[0], docs[7], [], [], ["one"], ["One"], ["a", "b", "c"]]
+    rows = nearcopies.near_copies(spark, frame(spark, docs)).collect()
+    got = {x.doc_id: x.component_id for x in rows}
+    lower = [[w.lower() for w in d] for d in docs]
+    assert len(rows) == len(docs) and got == dict(enumerate(roots_of(lower).tolist()))
+
+
+def test_exact_links_at_the_border():
+    ten = np.arange(10, dtype=np.uint64)
+    assert nearcopies.exact_links([ten[:4], ten[:5]]).tolist() == [0, 0]  # 4 of 5
+    assert nearcopies.exact_links([ten[:7], ten[:9]]).tolist() == [0, 1]  # 7 of 9
+    assert nearcopies.exact_links([ten[:0], ten[:3], ten[:0]]).tolist() == [0, 1, 0]
+    assert nearcopies.exact_links([ten[:6], ten[:10], ten[:8]]).tolist() == [0, 1, 1]  # 6 of 8, 8 of 10
