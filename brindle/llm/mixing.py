@@ -13,8 +13,11 @@ from .common import documents, save, text_or_empty
 
 TRAIN_ROWS = 6000  # labelled documents the classifier is fitted on, at most
 TRAIN_BYTES = 65_536  # labelled documents longer than this are not trained on
-TELLTALE_WORDS = 96  # words whose presence counts, the most telling ones
 MIN_DOCS = 8  # labelled documents that must have a telltale word
+#: A word is telltale if one domain has it RATIO times as often as each other one, with a likelihood ratio statistic of
+#: SIGNIFICANCE or more against each (about one chance in 200). All such words count, whatever their number.
+SIGNIFICANCE, RATIO = 8.0, 3.0
+STEM_LETTERS = 7  # longer words count by their beginnings, too
 ROUNDS = 40
 TOLERANCE = 1e-9
 DAMPING = 1e-4
@@ -30,20 +33,23 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def with_features(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """distinct words, tokens, and shape features of a (doc_id, text) table; ``carry`` columns stay."""
+    """distinct words and stems, tokens, and shape features of a (doc_id, text) table; ``carry`` columns stay."""
     body = F.col("body")
     n = F.greatest(F.length(body), F.lit(1)).cast("double")
     return (
         df.select(*carry, "doc_id", text_or_empty().alias("body"))
         .withColumn("all_words", F.filter(F.split(body, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
         .withColumn("tokens", F.size("all_words").cast("long"))
+        .withColumn("distinct", F.size(F.array_distinct("all_words")))
         .withColumn("words", F.array_distinct("all_words"))
+        .withColumn("stems", F.transform(F.filter("words", lambda w: F.length(w) > STEM_LETTERS), lambda w: F.concat(F.substring(w, 1, STEM_LETTERS), F.lit("-"))))
+        .withColumn("words", F.array_distinct(F.concat("words", "stems")))
         .withColumn("k", F.greatest(F.col("tokens"), F.lit(1)).cast("double"))
         .select(
             *carry, "doc_id", "tokens", "words",
             ((F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>!]+", ""))) / F.col("k")).alias("f_symbols"),
             ((F.length(body) - F.length(F.regexp_replace(body, r"[A-Z]+", ""))) / n).alias("f_upper"),
-            (F.size("words") / F.col("k")).alias("f_distinct"),
+            (F.col("distinct") / F.col("k")).alias("f_distinct"),
             F.log(n / F.col("k")).alias("f_length"),
         )
     )
@@ -82,6 +88,20 @@ class DomainModel:
         return summed.select(*keep, F.transform("e", lambda x: x / F.col("z")).alias("p"))
 
 
+def _likelihood_ratio(a: int, n: int, b: int, m: int) -> float:
+    """The G statistic of a in n against b in m; 1 degree of freedom."""
+    share = (a + b) / (n + m)
+    cells = ((a, n * share), (n - a, n * (1 - share)), (b, m * share), (m - b, m * (1 - share)))
+    return 2 * sum(x * math.log(x / want) for x, want in cells if x)
+
+
+def _telltale(n: Sequence[int], size: Sequence[int]) -> bool:
+    """Whether n documents of each domain, of its size, tell one domain from each other one."""
+    rate = [(x + 0.1) / (s + 1.0) for x, s in zip(n, size, strict=True)]
+    top = max(range(len(n)), key=rate.__getitem__)
+    return all(rate[top] >= RATIO * rate[d] and _likelihood_ratio(n[top], max(size[top], n[top]), n[d], max(size[d], n[d])) >= SIGNIFICANCE for d in range(len(n)) if d != top)
+
+
 def fit_domains(docs: DataFrame, labels: DataFrame) -> DomainModel:
     """Fit on at most TRAIN_ROWS labelled documents of at most TRAIN_BYTES, those of the smallest id hashes.
 
@@ -98,14 +118,13 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> DomainModel:
     size = [stats[d]["n"] if d in stats else 1 for d in k]
     shape = [[(float((stats.get(d) or every)[f"{c}_m"] or 0.0), float((stats.get(d) or every)[f"{c}_v"] or 0.0) + 1e-3) for c in SHAPE] for d in k]
     seen = rows.select("domain", F.explode("words").alias("w")).groupBy("w").agg(*[F.sum((F.col("domain") == d).cast("long")).alias(f"n{d}") for d in k])
-    rate = [(F.col(f"n{d}") + 0.1) / F.lit(size[d] + 1.0) for d in k]
-    second = F.element_at(F.array_sort(F.array(*rate)), -2)  # what tells one domain from all others
-    spread = F.greatest(*rate) / second
-    telling = seen.where(F.expr(" + ".join(f"n{d}" for d in k)) >= MIN_DOCS).orderBy((F.log(spread) * F.greatest(*rate)).desc(), "w").limit(TELLTALE_WORDS).collect()
+    rate = F.array_sort(F.array(*[(F.col(f"n{d}") + 0.1) / F.lit(size[d] + 1.0) for d in k]))
+    often = seen.where(F.expr(" + ".join(f"n{d}" for d in k)) >= MIN_DOCS).where(F.element_at(rate, -1) >= RATIO * F.element_at(rate, -2))
     words = {}
-    for r in telling:
-        odds = [(r[f"n{d}"] + 0.1) / (size[d] + 1.0) for d in k]
-        words[r["w"]] = odds
+    for r in sorted(often.collect(), key=lambda r: r["w"]):
+        n = [r[f"n{d}"] for d in k]
+        if _telltale(n, size):
+            words[r["w"]] = [(n[d] + 0.1) / (size[d] + 1.0) for d in k]
     prior = [math.log(x / total) for x in size]
     return DomainModel(prior, words, shape)
 

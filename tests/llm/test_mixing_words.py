@@ -1,0 +1,35 @@
+"""Telltale words of the mixing classifier: rare languages, decorated words."""
+
+import random
+
+from brindle.llm import mixing
+
+
+LOW = ["low" + a + b for a in "abcdefghijklmno" for b in "abcdefghij"]
+
+
+def labelled(spark, docs):
+    return (
+        spark.createDataFrame([(i, t) for i, (t, _) in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(i, int(d != 2), int(d == 1)) for i, (_, d) in enumerate(docs)], "doc_id long, quality int, toxic int"),
+    )
+
+
+def test_words_of_a_small_language_are_not_crowded_out(spark):
+    """150 words tell low quality; toxic documents of a small language have one stem with many endings."""
+    r = random.Random(7)
+    docs = [(" ".join(r.choice("abcdefgh") * 3 for _ in range(30)), 0) for _ in range(200)]
+    docs += [(" ".join(["uvwxyz"[i % 6], *LOW]), 2) for i in range(60)]
+    docs += [(" ".join([*[r.choice("abcdefgh") * 3 for _ in range(29)], "hurtful"]), 1) for _ in range(60)]
+    docs += [(" ".join([*[r.choice("mnop") * 3 for _ in range(29)], "achlich" + "".join(r.choice("rstuv") for _ in range(4))]), 1) for _ in range(20)]
+    docs += [(" ".join(r.choice("mnop") * 3 for _ in range(30)), 0) for _ in range(60)]
+    model = mixing.fit_domains(*labelled(spark, docs))
+    assert {"hurtful", "achlich-", *LOW} <= set(model.words)
+    new, _ = labelled(spark, [("mmm nnn ooo ppp " * 7 + "achlichxyz", 1), ("mmm nnn ooo ppp " * 7 + "mmm", 0)])
+    toxic = {x.doc_id: x.p[1] for x in model.posteriors(mixing.with_features(new)).collect()}
+    assert toxic[0] > 0.5 > toxic[1]
+
+
+def test_significance():
+    assert mixing._telltale([0, 10, 0], [100, 50, 100]) and mixing._telltale([0, 0, 60], [200, 80, 60])
+    assert not mixing._telltale([4, 4, 4], [100, 100, 100]) and not mixing._telltale([5, 8, 1], [100, 100, 100])
