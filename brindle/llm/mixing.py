@@ -18,6 +18,7 @@ MIN_DOCS = 8  # labelled documents that must have a telltale word
 #: SIGNIFICANCE or more against each (about one chance in 200). All such words count, whatever their number.
 SIGNIFICANCE, RATIO = 8.0, 3.0
 STEM_LETTERS = 7  # longer words count by their beginnings, too
+SPACES, NO_LETTERS = r"[ \t\n\x0B\f\r]+", r"[^\p{L}\p{M} \t\n\x0B\f\r]+"
 ROUNDS = 40
 TOLERANCE = 1e-9
 DAMPING = 1e-4
@@ -33,15 +34,15 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def with_features(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """distinct words and stems, tokens, and shape features of a (doc_id, text) table; ``carry`` columns stay."""
+    """distinct words (letters, lower case) and their stems, tokens, and shape features of a (doc_id, text) table; ``carry`` columns stay."""
     body = F.col("body")
     n = F.greatest(F.length(body), F.lit(1)).cast("double")
     return (
         df.select(*carry, "doc_id", text_or_empty().alias("body"))
-        .withColumn("all_words", F.filter(F.split(body, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+        .withColumn("all_words", F.filter(F.split(body, SPACES), lambda w: w != ""))
         .withColumn("tokens", F.size("all_words").cast("long"))
         .withColumn("distinct", F.size(F.array_distinct("all_words")))
-        .withColumn("words", F.array_distinct("all_words"))
+        .withColumn("words", F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("body"), NO_LETTERS, ""), SPACES), lambda w: w != "")))
         .withColumn("stems", F.transform(F.filter("words", lambda w: F.length(w) > STEM_LETTERS), lambda w: F.concat(F.substring(w, 1, STEM_LETTERS), F.lit("-"))))
         .withColumn("words", F.array_distinct(F.concat("words", "stems")))
         .withColumn("k", F.greatest(F.col("tokens"), F.lit(1)).cast("double"))
