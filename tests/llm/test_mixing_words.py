@@ -33,8 +33,3 @@ def test_words_of_a_small_language_are_not_crowded_out(spark):
 def test_significance():
     assert mixing._telltale([0, 10, 0], [100, 50, 100]) and mixing._telltale([0, 0, 60], [200, 80, 60])
     assert not mixing._telltale([4, 4, 4], [100, 100, 100]) and not mixing._telltale([5, 8, 1], [100, 100, 100])
-
-
-def test_decorated_words_count(spark):
-    words = mixing.with_features(spark.createDataFrame([(1, "LOSER!! stu*pid*** idiot&&& ÉTÉ, 12 ### Loser")], "doc_id long, text string")).first()
-    assert sorted(words["words"]) == ["idiot", "loser", "stupid", "été"] and words["tokens"] == 7 and words["f_distinct"] == 1.0
