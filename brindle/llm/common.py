@@ -47,7 +47,16 @@ def save(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataF
     for key, value in ({"compression": "zstd"} | options).items():
         writer = writer.option(key, value)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove tables of save() that nothing reads any more: what was made from them is written, too."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import forget, save
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = save(spark, e.join(low, "v").select("u", F.col("m").alias("v")).distinct(), "large-links")
         least = save(spark, large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        e = save(spark, small.distinct(), "links")
+        old, e = e, save(spark, small.distinct(), "links")
+        forget(spark, old, low, large, least)
         before, state = state, _state(e)
         if state == before:
             break

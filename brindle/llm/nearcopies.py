@@ -1,4 +1,5 @@
-"""Near copies: MinHash bands over five-word shingles gather candidates, exact Jaccard similarity links them."""
+"""Near copies: SimHash vantage-point trees and MinHash bands over five-word shingles gather candidates, exact Jaccard
+similarity links them."""
 
 from __future__ import annotations
 
@@ -7,12 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release_memory, save
+from .common import forget, release_memory, save
 from .graph import components
-from .simhash import _parts
+from .simhash import RADIUS, _parts, linked_fingerprints, majority_bits
 
 SHINGLE_WORDS, SEED = 5, 42
 #: Bands of ROWS MinHashes each: two sets of Jaccard similarity 0.8 share none of them with probability
@@ -21,6 +22,7 @@ BANDS, ROWS = 40, 6
 NUMERATOR, DENOMINATOR = 4, 5  # least similarity, as a fraction: 0.8
 BLOCK_SHINGLES = 1 << 20  # a cluster with more is compared block by block
 DIGEST = 16  # bytes that stand for a set
+KEY = ["doc_id", "k1", "k2"]  # of a row: its id and two hashes of its text
 
 _ODD = np.random.default_rng(SEED).integers(1 << 31, size=(2, BANDS * ROWS), dtype=np.uint32) << np.uint32(1) | np.uint32(1)
 _PLACES = np.random.default_rng(SEED + 1).integers(1 << 63, size=SHINGLE_WORDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -47,6 +49,11 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def simhashes(sets: list[np.ndarray]) -> np.ndarray:
+    """64-bit SimHash of each set."""
+    return majority_bits(np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64))
+
+
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, BANDS): one hash of each band's MinHashes; a set without members has zeros."""
     out = np.zeros((len(sets), BANDS), np.uint64)
@@ -119,8 +126,8 @@ def exact_links(sets: list[np.ndarray]) -> np.ndarray:
     return root
 
 
-def candidate_clusters(spark: SparkSession, points: DataFrame) -> DataFrame:
-    """(id, cluster) of the points (id, sig) that share a band with another one, followed to the end."""
+def band_links(spark: SparkSession, points: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(u, v): each point (id, sig) with the least one in each of its bands; and the saved tables read."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,32 +136,53 @@ def candidate_clusters(spark: SparkSession, points: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(keys), pa.array(ids)], ["key", "id"])
 
     rows = save(spark, points.select("sig", "id").mapInArrow(spread, "key long, id long"), "band-keys")
-    least = rows.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("last")).where("v <> last").select("key", "v")
-    links = rows.join(save(spark, least, "band-stars"), "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
-    tied = save(spark, components(spark, links), "candidate-roots")
+    least = save(spark, rows.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("last")).where("v <> last").select("key", "v"), "band-stars")
+    return rows.join(least, "key").where("id <> v").select(F.col("id").alias("u"), "v"), [rows, least]
+
+
+def fingerprint_links(spark: SparkSession, points: DataFrame, radius: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(u, v) of points (id, fp) whose fingerprints are joined by links of at most ``radius`` bits, by vantage-point trees;
+    and the saved tables read."""
+    distinct = save(spark, points.groupBy("fp").agg(F.min("id").alias("first")), "point-fingerprints")
+    roots = save(spark, linked_fingerprints(spark, distinct, radius), "point-fingerprint-roots")
+    own = points.join(distinct, "fp").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    top = distinct.select(F.col("fp").alias("root"), F.col("first").alias("v"))
+    tied = roots.join(distinct, roots["node"] == distinct["fp"]).select("root", F.col("first").alias("u")).join(top, "root").select("u", "v")
+    return own.unionAll(tied), [distinct, roots]
+
+
+def candidate_clusters(spark: SparkSession, points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(id, cluster) of the points (id, fp, sig) that share a band with another one or have a fingerprint near its, followed
+    to the end."""
+    (bands, read), (prints, more) = band_links(spark, points), fingerprint_links(spark, points, radius)
+    tied = save(spark, components(spark, bands.unionAll(prints)), "candidate-roots")
+    forget(spark, *read, *more)
     return tied.select(F.col("node").alias("id"), F.col("root").alias("cluster")).unionAll(tied.select(F.col("root").alias("id"), F.col("root").alias("cluster")).distinct())
 
 
-def near_copies(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) per row: texts whose five-word shingles have a Jaccard similarity of 0.8 or more are
-    linked, links are followed to the end, and component_id is the smallest doc_id.
+def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    body = F.col(text).cast("string")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), F.encode(body, "UTF-8").alias("text"))
 
-    Candidates are texts that share a MinHash band, gathered in clusters; the texts of a cluster are compared
-    exactly (by 64-bit hashes of shingles) in one task, or block against block if it is large. Equal sets are one
-    point. Tasks report stars, never pairs.
 
-    Cases: texts that are null or have no words are all linked; rows without a doc_id are left out;
-    equal rows give equal rows; other columns are ignored; empty in, empty out.
-    """
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
+
+
+def copy_groups(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two saved tables: (doc_id, k1, k2, n, sig), the distinct rows by id and text and how often they come, and
+    (sig, cluster) of the texts with words; equal clusters are copies."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[bytes] = []
-            for part in _parts(b.column(1)):
+            rows: list[bytes | None] = []
+            prints: list[np.ndarray] = []
+            for part in _parts(b.column(3)):
                 sets = shingle_sets(part)
-                rows += [xxhash.xxh3_128_digest(s.tobytes(), SEED) + k.tobytes() for s, k in zip(sets, band_keys(sets), strict=True)]
+                rows += [xxhash.xxh3_128_digest(s.tobytes(), SEED) + k.tobytes() if len(s) else None for s, k in zip(sets, band_keys(sets), strict=True)]
+                prints.append(simhashes(sets))
             release_memory()
-            yield pa.record_batch([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "sig"])
+            yield pa.record_batch([*b.columns[:3], pa.array(np.concatenate(prints).view(np.int64)), pa.array(rows, pa.binary())], [*KEY, "fp", "sig"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,12 +203,18 @@ def near_copies(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text
         release_memory()
         return out
 
-    texts = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.col(text).cast("string"), "UTF-8").alias("text"))
-    docs = save(spark, texts.mapInArrow(sign, "doc_id long, sig binary"), "shingle-signs")
-    points = save(spark, docs.groupBy("sig").agg(F.min("doc_id").alias("id")), "shingle-points")
+    texts = _keyed(df, doc_id, text)
+    signed = save(spark, texts.mapInArrow(sign, "doc_id long, k1 long, k2 long, fp long, sig binary"), "shingle-signs")
+    rows = save(spark, signed.groupBy(*KEY, F.substring("sig", 1, DIGEST).alias("sig")).agg(F.count(F.lit(1)).alias("n")), "copy-rows")
+    worded = signed.where("sig IS NOT NULL")
+    points = worded.groupBy("sig").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), *KEY)).alias("t"))
+    points = save(spark, points.select("sig", "fp", *[f"t.{k}" for k in KEY]).withColumn("id", F.monotonically_increasing_id()), "shingle-points")
     clusters = save(spark, candidate_clusters(spark, points), "candidate-clusters")
-    gathered = texts.join(clusters, texts["doc_id"] == clusters["id"]).select("cluster", "id", "text")
-    sets = save(spark, gathered.mapInArrow(shingles, "cluster long, id long, n long, members binary"), "shingle-sets", compression="uncompressed")
+    wanted = save(spark, points.join(clusters, "id").select(*KEY, "id", "cluster"), "candidate-texts")
+    found = texts.join(wanted, same_row(texts, wanted)).select("cluster", "id", "text")
+    if not rows.where("n > 1").isEmpty():
+        found = found.groupBy("cluster", "id").agg(F.first("text").alias("text"))
+    sets = save(spark, found.mapInArrow(shingles, "cluster long, id long, n long, members binary"), "shingle-sets", compression="uncompressed")
     blocks = F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int")
     sizes = save(spark, sets.groupBy("cluster").agg(F.greatest(blocks, F.lit(1)).alias("blocks")), "cluster-sizes")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -190,6 +224,52 @@ def near_copies(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text
     )
     links = dealt.groupBy("cluster", "low", "high").applyInArrow(stars, "u long, v long")
     roots = save(spark, components(spark, links), "copy-roots")
-    group = F.coalesce(F.col("root"), F.col("id")).alias("component_id")
-    groups = save(spark, points.join(roots, points["id"] == roots["node"], "left").select("sig", group), "copy-groups")
-    return docs.join(groups, "sig").select("doc_id", "component_id")
+    groups = save(spark, points.join(roots, points["id"] == roots["node"], "left").select(F.substring("sig", 1, DIGEST).alias("sig"), F.coalesce("root", "id").alias("cluster")), "copy-groups")
+    forget(spark, signed, points, clusters, wanted, sets, sizes, roots)
+    return rows, groups
+
+
+def near_copies(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, k1, k2, n, component_id) for each distinct row (id and text, k1 and k2 being hashes of the text) that
+    comes n times: texts whose five-word shingles have a Jaccard similarity of 0.8 or more are linked, links are followed
+    to the end, and component_id is the smallest doc_id.
+
+    Candidates are texts that share a MinHash band or whose 64-bit SimHashes are linked by op5's vantage-point trees
+    (2 bits; a similarity of 0.8 moves about 10, beyond what trees prune), gathered in clusters; the texts of a cluster
+    are compared exactly (by 64-bit hashes of shingles) in one task, or block against block if it is large. Equal sets
+    are one point. Tasks report stars, never pairs.
+
+    Cases: texts that are null or have no words are linked to nothing, their component_id is their doc_id; a null doc_id
+    is larger than all (component_id is null if there is no other); one doc_id may have several texts, each decided by
+    itself; other columns are ignored; empty in, empty out.
+    """
+    rows, groups = copy_groups(spark, df, doc_id, text)
+    owned = rows.join(groups, "sig").groupBy("cluster").agg(F.min("doc_id").alias("component_id"))
+    least = save(spark, groups.join(owned, "cluster").select("sig", "component_id"), "component-ids")
+    own = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return rows.join(least, "sig", "left").select(*KEY, "n", own)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of near_copies(): the one of the smallest (doc_id, k1, k2), null ids last. The
+    decision is by row, that is by id and text: another text under the same id stays. Of rows with equal id and text one
+    stays. Texts that are null or have no words are copies of nothing and all stay. All columns are as they were.
+    """
+    rows, groups = copy_groups(spark, docs, doc_id, text)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), *KEY)
+    owned = save(spark, rows.join(groups, "sig").groupBy("cluster").agg(F.min(order).alias("kept")), "kept-copies")
+    kept = save(spark, groups.join(owned, "cluster").select("sig", F.struct(*[F.col(f"kept.{k}") for k in KEY]).alias("kept")), "kept-rows")
+    marked = rows.join(kept, "sig").select(*KEY, "n", F.struct(*KEY).eqNullSafe(F.col("kept")).alias("stays"))
+    gone = save(spark, marked.where("NOT stays OR n > 1"), "near-copies")
+    forget(spark, rows, groups, owned, kept)
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    carried = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    at = docs.columns.index(doc_id), docs.columns.index(text)
+    body = F.col(names[at[1]]).cast("string")
+    keyed = carried.select(*names, F.col(names[at[0]]).cast("long").alias("doc_id"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"))
+    out = keyed.join(gone, same_row(keyed, gone), "left_anti").select(*names)
+    again = gone.where("stays")
+    if not again.isEmpty():  # equal rows, one of which stays
+        firsts = keyed.join(again, same_row(keyed, again), "left_semi").groupBy(*KEY).agg(F.first(F.struct(*names)).alias("row"))
+        out = out.unionAll(firsts.select("row.*"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

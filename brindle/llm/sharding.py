@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, save
+from .common import documents, forget, partitions, save
 
 OVERHEAD = 16  # bytes that a stored row costs besides its text
 SLOT_ROWS = 100_000  # rows aimed at in one numbering range
+PIECE_ROWS = 10_000  # equal rows that are written out at one place
 
 
 def _score(key: Column, shard: Column, weight: Column) -> Column:
@@ -60,10 +61,17 @@ def shard_table(spark: SparkSession, df: DataFrame, weights: Sequence[float], ke
     offsets = per_range.select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("shard", "range").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     first = placed.withColumn("inside", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
+    numbered = save(spark, first.join(offsets, ["shard", "range"]).select("doc_id", "size", "text_crc32", "copies", "shard", (F.col("offset") + F.col("inside")).alias("slot"), "grown_shard"), "shard-slots")
+    forget(spark, counted)
+    few = numbered.where(F.col("copies") <= PIECE_ROWS)
+    many = numbered.where(F.col("copies") > PIECE_ROWS)
+    if not many.isEmpty():  # pieces of them go to other tasks
+        piece = many.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / PIECE_ROWS))))
+        piece = piece.withColumn("slot", F.col("slot") + F.col("piece") * PIECE_ROWS).withColumn("copies", F.least(F.lit(PIECE_ROWS).cast("long"), F.col("copies") - F.col("piece") * PIECE_ROWS))
+        few = few.unionAll(piece.repartition(partitions(spark), "shard", "slot").select(few.columns))
     return (
-        first.join(offsets, ["shard", "range"])
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("inside") + F.col("copy")).alias("slot"), "grown_shard")
+        few.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("slot") + F.col("copy")).alias("slot"), "grown_shard")
     )
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, release_memory, save
+from .common import documents, forget, save
 from .graph import components, local_roots
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
@@ -19,12 +19,9 @@ SHARD_POINTS = 2048  # fingerprints aimed at in a shard, before copies near boun
 SAMPLE_POINTS = 16_384  # fingerprints that place the top tree's boundaries, at most
 VANTAGE_TRIES = 24
 LEAF_POINTS = 48
-#: Edited copies: independent fingerprints of a text's distinct words, and bits of its five-word shingles' fingerprint.
-EDIT_TABLES, EDIT_SHINGLE_WORDS, EDIT_WIDTH = 8, 5, 8
-#: Two five-word sets of Jaccard similarity 0.8 differ in 77 of the 512 bits on average, with a deviation of 8.
-EDIT_BITS = 90
-EDIT_SHARD_POINTS = 4096  # as SHARD_POINTS; fewer boundaries, fewer copies of wide fingerprints
-BLOCK_POINTS = 65_536  # a larger shard is compared block by block
+SHARD_LIMIT = 16_384  # a shard with more points is split again by its own points, or compared block by block
+SHARD_SAMPLE = 1024  # points of such a shard that place its boundaries, about
+SPREAD = 1.5  # a split that makes more copies of a point than this is not worth it
 GROUP_BYTES = 1 << 21
 PAIR_CELLS = 1 << 20  # distances computed at once
 
@@ -77,37 +74,6 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def wide_fingerprints(hashes: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
-    """(texts, width) independent fingerprints from one hash a feature: splitmix64 steps give its value in each."""
-    out = np.zeros((len(sizes), width), np.uint64)
-    for t in range(width):
-        z = hashes + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, t] = majority_bits(z ^ (z >> np.uint64(31)), sizes)
-    return out
-
-
-def edit_fingerprints(texts: list[bytes]) -> np.ndarray:
-    """Per text EDIT_TABLES fingerprints of its distinct lower-case words, then EDIT_WIDTH of its distinct
-    five-word shingles (the whole sequence if it is shorter); no words, all zero."""
-    digest = xxhash.xxh64_intdigest
-    found: tuple[list[int], list[int]] = ([], [])
-    sizes = np.zeros((2, len(texts)), np.int64)
-    for i, t in enumerate(texts):
-        words = t.lower().split()
-        if not words:
-            continue
-        last = max(1, len(words) - EDIT_SHINGLE_WORDS + 1)
-        features = (set(words), {b" ".join(words[k : k + EDIT_SHINGLE_WORDS]) for k in range(last)})
-        for part in (0, 1):
-            found[part].extend(digest(x, SEED) for x in features[part])
-            sizes[part, i] = len(features[part])
-    return np.concatenate(
-        [wide_fingerprints(np.array(found[p], np.uint64), sizes[p], w) for p, w in ((0, EDIT_TABLES), (1, EDIT_WIDTH))], axis=1
-    )
-
-
 def _parts(texts: pa.Array) -> Iterator[list[bytes]]:
     """The texts in lists of bounded size; at least one list."""
     held, size = [], 0
@@ -232,18 +198,13 @@ def pairs_within(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray,
     return np.concatenate([i for i, _ in chunks]), np.concatenate([j for _, j in chunks])
 
 
-def edit_roots(points: np.ndarray, wide: np.ndarray, radius: int, bits: int) -> np.ndarray:
-    """The smallest index each point is linked to: pairs within the radius whose wide fingerprints differ in
-    at most ``bits``. Pairs that are connected already are not compared again."""
+def shard_roots(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """The smallest index each point is linked to, from pairs that come and go in bounded parts."""
     root = np.arange(len(points))
     for i, j in pair_chunks(points, radius):
-        for s in range(0, len(i), 1 << 17):
-            a, b = i[s : s + (1 << 17)], j[s : s + (1 << 17)]
-            open_ = root[a] != root[b]
-            a, b = a[open_], b[open_]
-            near = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) <= bits
-            if near.any():
-                root = local_roots(len(root), root[a[near]], root[b[near]])[root]
+        open_ = root[i] != root[j]
+        if open_.any():
+            root = local_roots(len(root), root[i[open_]], root[j[open_]])[root]
     return root
 
 
@@ -259,12 +220,94 @@ def boundary_sample(distinct: DataFrame, column: str, n: int) -> list:
     return few.orderBy(mixed).limit(SAMPLE_POINTS).collect()
 
 
+def _tree_bytes(tree: Node) -> bytes:
+    """A tree as rows of (vantage, reach or -1 - leaf), inside before outside."""
+    rows: list[tuple[int, int]] = []
+
+    def walk(node: Node) -> None:
+        rows.append((int(node.vantage), node.reach if node.inside else -1 - node.leaf))
+        if node.inside:
+            walk(node.inside)
+            walk(node.outside)
+
+    walk(tree)
+    return np.array([r[0] for r in rows], "<u8").tobytes() + np.array([r[1] for r in rows], "<i8").tobytes()
+
+
+def _tree_of(raw: bytes) -> Node:
+    vantage, reach = np.frombuffer(raw, "<u8").reshape(2, -1)
+    reach, at = reach.view("<i8"), iter(range(len(vantage)))
+
+    def walk() -> Node:
+        i = next(at)
+        if reach[i] < 0:
+            return Node(leaf=int(-1 - reach[i]))
+        return Node(vantage[i], int(reach[i]), walk(), walk())
+
+    return walk()
+
+
+def bounded_shards(spark: SparkSession, shards: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, list[DataFrame]]:
+    """(shard, low, high, fp), and the saved tables it reads: shards with over SHARD_LIMIT points are split again by vantage points of their own until
+    none is left or a split makes too many copies; those are dealt as pairs of blocks. Any two points within the radius
+    still meet in a group, and a group has 2 * SHARD_LIMIT points or so at most.
+
+    A task builds one shard's tree from about SHARD_SAMPLE points; points are routed in parts of SHARD_LIMIT.
+    """
+    size = F.count(F.lit(1)).alias("n")
+
+    def grow(group: pa.Table) -> pa.Table:
+        points = np.unique(group.column("fp").to_numpy()).view(np.uint64)
+        tree, leaves = top_tree(points, -(-group.column("n")[0].as_py() // SHARD_POINTS), radius)
+        index, leaf = route(tree, points, radius)
+        grown = leaves > 1 and len(index) <= SPREAD * max(1.0, np.log2(leaves) / 2) * len(points) and np.bincount(leaf).max() <= 0.8 * len(points)
+        return pa.table({"shard": group.column("shard")[:1], "tree": pa.array([_tree_bytes(tree) if grown else None], pa.binary())})
+
+    def spread(part: pa.Table, tree: pa.Table) -> pa.Table:
+        if not part.num_rows or not tree.num_rows:
+            return pa.table({"shard": pa.array([], pa.int64()), "fp": pa.array([], pa.int64())})
+        fp = part.column("fp").to_numpy()
+        i, leaf = route(_tree_of(tree.column("tree")[0].as_py()), fp.view(np.uint64), radius)
+        parent = part.column("shard")[0].as_py()
+        named = np.array([xxhash.xxh64_intdigest(f"{parent}/{k}") >> 1 for k in range(int(leaf.max()) + 1)], np.int64)  # two with one name are one larger shard
+        return pa.table({"shard": named[leaf], "fp": fp[i]})
+
+    done, whole, steps = [], [], [shards]
+    while True:
+        sizes = save(spark, shards.groupBy("shard").agg(size), "shard-sizes")
+        steps.append(sizes)
+        over = sizes.where(F.col("n") > SHARD_LIMIT)
+        if over.isEmpty():
+            done.append(shards)
+            break
+        done.append(shards.join(over, "shard", "left_anti"))
+        crowded = shards.join(over, "shard")
+        picked = crowded.where(F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / SHARD_SAMPLE)) == 0)
+        trees = save(spark, picked.groupBy("shard").applyInArrow(grow, "shard long, tree binary"), "shard-trees")
+        whole.append(crowded.join(trees.where("tree IS NOT NULL"), "shard", "left_anti"))
+        parts = F.ceil(F.col("n") / SHARD_LIMIT).cast("int")
+        dealt = crowded.select("shard", "fp", F.pmod(F.xxhash64("fp"), parts).alias("part")).groupBy("shard", "part")
+        told = trees.where("tree IS NOT NULL").join(over, "shard").select("shard", "tree", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+        shards = save(spark, dealt.cogroup(told.groupBy("shard", "part")).applyInArrow(spread, "shard long, fp long"), "split-shards")
+        steps += [trees, shards]
+    zero = F.lit(0).cast("int")
+    out = done[0].select("shard", zero.alias("low"), zero.alias("high"), "fp")
+    for d in done[1:]:
+        out = out.unionAll(d.select("shard", zero.alias("low"), zero.alias("high"), "fp"))
+    for w in whole:
+        blocks = F.ceil(F.col("n") / SHARD_LIMIT).cast("int")
+        paired = w.withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        out = out.unionAll(paired.select("shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp"))
+    return out, steps
+
+
 def linked_fingerprints(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(node, root) over the distinct fingerprints fp: links of at most ``radius`` bits, followed to the end.
 
     A sample of at most SAMPLE_POINTS places the top tree's boundaries; every fingerprint is routed
-    through it and every pair is found. A shard reports its links as stars (a point and the least
-    point it is linked to), which keeps components and is never more than one row a point.
+    through it, overfull shards are split again, and every pair is found. A shard reports its links as
+    stars (a point and the least point it is linked to), which keeps components and is never more than
+    one row a point.
     """
     n = distinct.count()
     if n < 2:
@@ -276,16 +319,19 @@ def linked_fingerprints(spark: SparkSession, distinct: DataFrame, radius: int =
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
             i, shard = route(tree, fp.view(np.uint64), radius)
-            yield pa.record_batch([pa.array(shard), pa.array(fp[i])], ["shard", "fp"])
+            yield pa.record_batch([pa.array(shard.astype(np.int64)), pa.array(fp[i])], ["shard", "fp"])
 
     def stars(group: pa.Table) -> pa.Table:
         fp = np.unique(group.column("fp").to_numpy())
-        root = local_roots(len(fp), *pairs_within(fp.view(np.uint64), radius))
+        root = shard_roots(fp.view(np.uint64), radius)
         some = np.flatnonzero(root != np.arange(len(fp)))
         return pa.table({"u": fp[some], "v": fp[root[some]]})
 
-    shards = distinct.select("fp").mapInArrow(spread, "shard int, fp long")
-    return components(spark, shards.groupBy("shard").applyInArrow(stars, "u long, v long"))
+    shards = save(spark, distinct.select("fp").mapInArrow(spread, "shard long, fp long"), "shards")
+    dealt, steps = bounded_shards(spark, shards, radius)
+    out = components(spark, dealt.groupBy("shard", "low", "high").applyInArrow(stars, "u long, v long"))
+    forget(spark, *steps)
+    return out
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -302,76 +348,9 @@ def near_duplicates(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id",
     owned = save(spark, distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", group.alias("group")), "fingerprint-groups")
     least = save(spark, owned.groupBy("group").agg(F.min("first_id").alias("component_id")), "group-ids")
     ids = save(spark, owned.join(least, "group").select("fp", "component_id"), "component-ids")
+    forget(spark, distinct, roots, owned, least)
     return docs.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def edited_copies(
-    spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bits: int = EDIT_BITS
-) -> DataFrame:
-    """(doc_id, component_id) per row: copies of a text with some words changed, linked to the smallest doc_id.
-
-    One fingerprint of shingles moves far under a few edits, beyond what vantage-point trees can prune. So
-    each text has EDIT_TABLES independent fingerprints of its words, each with a tree of its own and a small
-    radius; texts that meet in any tree are linked if their five-word shingles' wide fingerprints differ in
-    at most ``bits``, which stands for a Jaccard similarity of 0.8. Equal fingerprints are one point; a
-    shard larger than BLOCK_POINTS is compared block against block. Tasks report stars, never pairs.
-
-    Cases: texts that are null or have no words are all linked; rows without a doc_id are left out;
-    equal rows give equal rows; other columns are ignored; empty in, empty out.
-    """
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [row.tobytes() for part in _parts(b.column(1)) if part for row in edit_fingerprints(part)]
-            release_memory()
-            yield pa.record_batch([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "sig"])
-
-    def unpacked(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, EDIT_TABLES + EDIT_WIDTH)
-
-    rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.col(text).cast("string"), "UTF-8").alias("text"))
-    docs = save(spark, rows.mapInArrow(sign, "doc_id long, sig binary"), "edit-fingerprints")
-    points = save(spark, docs.groupBy("sig").agg(F.min("doc_id").alias("id")), "edit-points")
-    n = points.count()
-    picked = boundary_sample(points.select("sig"), "sig", n)
-    sample = unpacked(pa.array([r["sig"] for r in picked], pa.binary()))
-    shards = -(-n // EDIT_SHARD_POINTS)
-    trees = [top_tree(sample[:, t], shards, radius)[0] for t in range(EDIT_TABLES)]
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sig = unpacked(b.column(0))
-            for t, tree in enumerate(trees):
-                i, shard = route(tree, sig[:, t], radius)
-                wide = pa.array([row.tobytes() for row in sig[i, EDIT_TABLES:]], pa.binary())
-                yield pa.record_batch(
-                    [pa.array(np.full(len(i), t, np.int32)), pa.array(shard), pa.array(sig[i, t].view(np.int64)), b.column(1).take(pa.array(i)), wide],
-                    ["tree", "shard", "fp", "id", "wide"],
-                )
-
-    def stars(group: pa.Table) -> pa.Table:
-        group = group.sort_by("id")
-        node = group.column("id").to_numpy()
-        wide = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(-1, EDIT_WIDTH)
-        root = edit_roots(group.column("fp").to_numpy().view(np.uint64), wide, radius, bits)
-        some = np.flatnonzero(root != np.arange(len(root)))
-        release_memory()
-        return pa.table({"u": node[some], "v": node[root[some]]})
-
-    routed = points.select("sig", "id").mapInArrow(spread, "tree int, shard int, fp long, id long, wide binary")
-    sizes = points.select("sig", "id").mapInArrow(spread, "tree int, shard int, fp long, id long, wide binary").groupBy("tree", "shard").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK_POINTS).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = (
-        routed.join(save(spark, sizes, "shard-sizes").select("tree", "shard", blocks.alias("blocks")), ["tree", "shard"])
-        .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("tree", "shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "id", "wide")
-    )
-    links = dealt.groupBy("tree", "shard", "low", "high").applyInArrow(stars, "u long, v long")
-    roots = save(spark, components(spark, links), "edit-roots")
-    group = F.coalesce(F.col("root"), F.col("id")).alias("component_id")
-    groups = save(spark, points.join(roots, points["id"] == roots["node"], "left").select("sig", group), "edit-groups")
-    return docs.join(groups, "sig").select("doc_id", "component_id")
-
-
 def op5_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, documents(spark, sf_dir))
