@@ -7,12 +7,11 @@ A stage is a function (spark, docs, sf_dir) -> DataFrame; all but the last retur
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from brindle.llm.bpe import default_tokenizer_path
 from brindle.llm.common import save
 from brindle.llm.mixing import mixed
-from brindle.llm.nearcopies import near_copies
+from brindle.llm.nearcopies import without_near_copies
 from brindle.llm.quality import keep_quality, train_line_crf
 from brindle.llm.suffix import without_repeats
 from brindle.llm.tokens import token_digests
@@ -24,10 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies, edited ones of a five-word Jaccard similarity of 0.8 or more included, the document with
-    the smallest id stays, as do rows without an id."""
-    gone = near_copies(spark, docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(save(spark, gone, "near-copies"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of each group of copies, edited ones of a five-word Jaccard similarity of 0.8 or more included, the row with the
+    smallest id stays. Rows are judged one by one: another text under the same id stays, of equal rows one does, and
+    texts without words are copies of nothing."""
+    return without_near_copies(spark, docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
