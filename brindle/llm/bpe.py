@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -60,7 +61,10 @@ class ByteBPE:
         spec = json.loads(open(path, encoding="utf-8").read())
         letters = byte_letters()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special = list(special)
+        self.special = special
+        #: Added tokens are cut out before anything else; the plain kind is found as written, the longest first.
+        self.cut = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
+        self.cutter = re.compile("(" + "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
         vocab = {v: bytes(letters[c] for c in k) for k, v in spec["model"]["vocab"].items() if k not in special}
         self.vocab_size = max([*vocab, *special.values()]) + 1
         self.pieces = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks={b: i for i, b in vocab.items()}, special_tokens={})
@@ -238,19 +242,41 @@ class ByteBPE:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the tokenizers library gives them without special tokens added."""
-        plain = [i for i, t in enumerate(texts) if not any(s in t for s in self.special)]
+        parts, owner = [], []
+        for i, t in enumerate(texts):
+            found = self.cutter.split(t) if self.cutter else [t]
+            if len(found) > 1 and not self.cut:
+                continue
+            parts += found[::2]  # what lies between special tokens; they are the odd ones
+            owner += [i] * len(found[::2])
+        coded = self._encode_parts(parts)
+        if len(parts) == len(texts):
+            return coded
+        lists: list[list[np.ndarray]] = [[] for _ in texts]
+        for i, x in zip(owner, coded, strict=True):
+            lists[i].append(x)
+        out = []
+        for t, own in zip(texts, lists, strict=True):
+            if not own:
+                out.append(self._library(t))
+            elif len(own) == 1:
+                out.append(own[0])
+            else:
+                ids = [np.array([self.special[x]], np.uint32) for x in self.cutter.split(t)[1::2]]
+                out.append(np.concatenate([x for pair in zip(own, [*ids, own[0][:0]], strict=True) for x in pair]))
+        return out
+
+    def _encode_parts(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         group: list[int] = []
         size = 0
-        for i in plain:
+        for i in range(len(texts)):
             if group and size + len(texts[i]) > BATCH_CHARS:
                 self._encode_group(texts, group, out)
                 group, size = [], 0
             group.append(i)
             size += len(texts[i])
         self._encode_group(texts, group, out)
-        for i in sorted(set(range(len(texts))) - set(plain)):
-            out[i] = self._library(texts[i])
         return out
 
     def _library(self, text: str) -> np.ndarray:

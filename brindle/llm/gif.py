@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import zlib
@@ -19,7 +20,9 @@ WIDTH = 192  # pixels of a row
 FRAME_ROWS = 128  # rows of a frame, fewer in the last
 DELAY_CS = 10  # hundredths of a second that a frame stays
 LITERALS = 512  # single samples after a clear code
-BINS = 8  # brightness bins of a histogram
+LEVELS = 4  # of red, green and blue in a colour histogram, so LEVELS**3 bins
+MAX_PIXELS = 1 << 26  # a larger canvas (256 MB as red, green, blue, opacity) counts as damaged
+BATCH_BYTES = 4 << 20  # of frames that are handed on at once
 CLEAR, END, FIRST, FULL = 256, 257, 258, 4096
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 
@@ -28,6 +31,10 @@ _WIDTHS = np.minimum(12, np.ceil(np.log2(np.maximum(FIRST + np.maximum(_INDEX -
 _OFFSETS = np.cumsum(_WIDTHS) - _WIDTHS
 
 
+class DamagedGIF(ValueError):
+    """A file that is no GIF, is cut off or contradicts itself."""
+
+
 # -- LZW -----------------------------------------------------------------------------------------
 
 
@@ -92,7 +99,7 @@ def _strings(codes: np.ndarray) -> bytes:
     active = np.flatnonzero(cur >= FIRST)
     while len(active):
         if (cur[active] - FIRST >= active).any():
-            raise ValueError("a GIF code that is not in the table")
+            raise DamagedGIF("a code that is not in the table")
         cur[active] = parent[cur[active] - FIRST]
         length[active] += 1
         active = active[cur[active] >= FIRST]
@@ -136,32 +143,45 @@ def lzw_decode(stream: bytes, minimum: int, pixels: int) -> bytes:
 
 
 def _lzw_decode_bits(stream: bytes, minimum: int, pixels: int) -> bytes:
+    """Any stream, code by code; bits wait in a small integer."""
     clear = 1 << minimum
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
     table, width, prev = base.copy(), minimum + 1, b""
-    value = int.from_bytes(stream, "little")
-    at, size, out, made = 0, 8 * len(stream), [], 0
-    while at + width <= size and made < pixels:
-        code = value >> at & (1 << width) - 1
-        at += width
-        if code == clear:
-            table, width, prev = base.copy(), minimum + 1, b""
+    held, bits, out, made = 0, 0, [], 0
+    for byte in stream:
+        held |= byte << bits
+        bits += 8
+        if bits < width:
             continue
-        if code == clear + 1:
-            break
-        if code < len(table):
-            cur = table[code]
-        elif prev:
-            cur = prev + prev[:1]
-        else:
-            raise ValueError("a GIF code that is not in the table")
-        if prev and len(table) < FULL:
-            table.append(prev + cur[:1])
-            if len(table) == 1 << width and width < 12:
-                width += 1
-        out.append(cur)
-        made += len(cur)
-        prev = cur
+        code = held & (1 << width) - 1
+        held >>= width
+        bits -= width
+        while True:
+            if code == clear:
+                table, width, prev = base.copy(), minimum + 1, b""
+            elif code == clear + 1:
+                return b"".join(out)[:pixels]
+            else:
+                if code < len(table):
+                    cur = table[code]
+                elif prev and code == len(table):
+                    cur = prev + prev[:1]
+                else:
+                    raise DamagedGIF("a code that is not in the table")
+                if prev and len(table) < FULL:
+                    table.append(prev + cur[:1])
+                    if len(table) == 1 << width and width < 12:
+                        width += 1
+                out.append(cur)
+                made += len(cur)
+                prev = cur
+                if made >= pixels:
+                    return b"".join(out)[:pixels]
+            if bits < width:
+                break
+            code = held & (1 << width) - 1  # narrow codes: a byte may hold several
+            held >>= width
+            bits -= width
     return b"".join(out)[:pixels]
 
 
@@ -188,6 +208,17 @@ class Frame:
     box: tuple[int, int, int, int]  # left, top, width, height of the part that was drawn
     canvas: np.ndarray  # height x width x 4, as shown: red, green, blue, opacity
 
+    def drawn(self) -> np.ndarray:
+        left, top, w, h = self.box
+        return self.canvas[top : top + h, left : left + w]
+
+    def histogram(self) -> list[int]:
+        """Opaque pixels of the canvas by colour: LEVELS equal steps of red, of green and of blue, red counting most."""
+        pixels = self.canvas.reshape(-1, 4)
+        pixels = pixels if pixels[:, 3].all() else pixels[pixels[:, 3] > 0]
+        step = pixels // (256 // LEVELS)
+        return np.bincount((step[:, 0] * LEVELS + step[:, 1]) * LEVELS + step[:, 2], minlength=LEVELS**3).tolist()
+
 
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     parts = []
@@ -197,21 +228,39 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def read_gif(data: bytes) -> list[Frame]:
-    """All frames as shown, after disposal and transparency."""
+def frames_of(data: bytes) -> Iterator[Frame]:
+    """Frames as shown, after disposal and transparency, one by one: a frame's canvas changes when the next one is asked for.
+    A damaged file raises DamagedGIF after the frames before the damage."""
+    try:
+        yield from _frames(data)
+    except (struct.error, IndexError) as e:
+        raise DamagedGIF("the file is cut off") from e
+
+
+def _frames(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
-        raise ValueError("not a GIF")
+        raise DamagedGIF("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MAX_PIXELS:
+        raise DamagedGIF(f"a canvas of more than {MAX_PIXELS} pixels")
     at = 13
     common = None
-    if flags & 0x80:
+
+    def colours(flags: int) -> np.ndarray:
+        nonlocal at
         size = 3 << (flags & 7) + 1
-        common = np.frombuffer(data, np.uint8, size, at).reshape(-1, 3)
+        if at + size > len(data):
+            raise DamagedGIF("the file is cut off")
+        out = np.zeros((256, 4), np.uint8)
+        out[: size // 3, :3], out[: size // 3, 3] = np.frombuffer(data, np.uint8, size, at).reshape(-1, 3), 255
         at += size
+        return out
+
+    if flags & 0x80:
+        common = colours(flags)
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     delay, disposal, clear_index = 0, 0, -1
-    while at < len(data):
+    while True:
         kind = data[at]
         if kind == 0x3B:
             break
@@ -223,48 +272,44 @@ def read_gif(data: bytes) -> list[Frame]:
                 clear_index = body[3] if body[0] & 1 else -1
             continue
         if kind != 0x2C:
-            raise ValueError("a damaged GIF")
+            raise DamagedGIF("a block of no known kind")
         left, top, w, h, local = struct.unpack_from("<HHHHB", data, at + 1)
+        if w * h > MAX_PIXELS:
+            raise DamagedGIF(f"a frame of more than {MAX_PIXELS} pixels")
         at += 10
-        palette = common
-        if local & 0x80:
-            size = 3 << (local & 7) + 1
-            palette = np.frombuffer(data, np.uint8, size, at).reshape(-1, 3)
-            at += size
+        palette = colours(local) if local & 0x80 else common
         if palette is None:
-            raise ValueError("a GIF without a palette")
+            raise DamagedGIF("no palette")
         minimum = data[at]
+        if not 1 <= minimum <= 8:
+            raise DamagedGIF("samples of no valid size")
         stream, at = _blocks(data, at + 1)
         pixels = lzw_decode(stream, minimum, w * h)
-        index = np.frombuffer(pixels.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        if len(pixels) < w * h:
+            raise DamagedGIF("a frame without all of its samples")
+        index = np.frombuffer(pixels, np.uint8).reshape(h, w)
         if local & 0x40:
             order = [y for start, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(start, h, step)]
             index = index[np.argsort(order)]
         before = canvas.copy() if disposal == 3 else None
         part = canvas[top : top + h, left : left + w]
         index = index[: part.shape[0], : part.shape[1]]
-        table = np.zeros((256, 4), np.uint8)
-        table[: len(palette), :3], table[: len(palette), 3] = palette, 255
         if clear_index >= 0:
             shown = index != clear_index
-            part[shown] = table[index[shown]]
+            part[shown] = palette[index[shown]]
         else:
-            part[:] = table[index]
-        frames.append(Frame(delay, (left, top, w, h), canvas.copy()))
+            part[:] = palette[index]
+        yield Frame(delay, (left, top, part.shape[1], part.shape[0]), canvas)
         if disposal == 2:
             part[:] = 0
         elif before is not None:
             canvas = before
         delay, disposal, clear_index = 0, 0, -1
-    return frames
 
 
-def histogram(frame: Frame) -> list[int]:
-    """Opaque pixels of the drawn part by brightness, BINS equal bins."""
-    left, top, w, h = frame.box
-    part = frame.canvas[top : top + h, left : left + w]
-    rgb = part[part[..., 3] > 0][:, :3].astype(np.uint16)
-    return np.bincount((rgb[:, 0] + rgb[:, 1] + rgb[:, 2]) * BINS // 768, minlength=BINS).tolist()
+def read_gif(data: bytes) -> list[Frame]:
+    """All frames, each with a canvas of its own."""
+    return [Frame(f.delay_ms, f.box, f.canvas.copy()) for f in frames_of(data)]
 
 
 # -- tables --------------------------------------------------------------------------------------
@@ -296,42 +341,76 @@ def media_column(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def frame_table(media: DataFrame) -> DataFrame:
-    """Timed frames of a (doc_id, media) table: doc_id, frame, start_ms, delay_ms, width, height, histogram, pixels (red)."""
+    """Timed frames of a (doc_id, media) table: doc_id, frame, start_ms, delay_ms, the drawn box (left_px, top_px, box_width,
+    box_height), width and height of the canvas, histogram (colours, see Frame.histogram), pixels (the whole canvas as
+    shown, rows of red, green, blue, opacity).
+
+    Cases: a null medium has no frames; a damaged one has the frames before the damage; a null doc_id stays null;
+    equal media give equal rows; frames are read one by one, so a long animation is no more memory than one of its
+    canvases; other columns are ignored; empty in, empty out.
+    """
+    kinds = {"doc_id": pa.int64(), "frame": pa.int32(), "start_ms": pa.int64(), "delay_ms": pa.int64(), "left_px": pa.int32(), "top_px": pa.int32(), "box_width": pa.int32(), "box_height": pa.int32(), "width": pa.int32(), "height": pa.int32(), "histogram": pa.list_(pa.int64()), "pixels": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held), kinds.values(), strict=True)], list(kinds))
+            held.clear()
+            return out
+
         for b in batches:
             for doc, m in zip(b.column(0), b.column(1), strict=True):
-                frames = read_gif(m.as_py())
-                ms = np.cumsum([0, *[f.delay_ms for f in frames]]).tolist()
-                parts = [f.canvas[f.box[1] : f.box[1] + f.box[3], f.box[0] : f.box[0] + f.box[2], 0] for f in frames]
-                k = len(frames)
-                yield pa.record_batch(
-                    [pa.array([doc.as_py()] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(ms[:k], pa.int64()), pa.array([f.delay_ms for f in frames], pa.int64()), pa.array([p.shape[1] for p in parts], pa.int32()), pa.array([p.shape[0] for p in parts], pa.int32()), pa.array([histogram(f) for f in frames], pa.list_(pa.int64())), pa.array([p.tobytes() for p in parts], pa.binary())],
-                    ["doc_id", "frame", "start_ms", "delay_ms", "width", "height", "histogram", "pixels"],
-                )
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, frame int, start_ms long, delay_ms long, width int, height int, histogram array<long>, pixels binary")
+                start = 0
+                with contextlib.suppress(DamagedGIF):
+                    for i, f in enumerate(frames_of(m.as_py()) if m.is_valid else ()):
+                        held.append((doc.as_py(), i, start, f.delay_ms, *f.box, f.canvas.shape[1], f.canvas.shape[0], f.histogram(), f.canvas.tobytes()))
+                        start += f.delay_ms
+                        size += f.canvas.nbytes
+                        if size >= BATCH_BYTES:
+                            yield flush()
+                            size = 0
+        if held:
+            yield flush()
+
+    schema = "doc_id long, frame int, start_ms long, delay_ms long, left_px int, top_px int, box_width int, box_height int, width int, height int, histogram array<long>, pixels binary"
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media")).mapInArrow(run, schema)
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Read each stored GIF back: sizes and digests of what was read, and a feature of its histograms."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """Read each stored GIF of (doc_id, n_bytes, media) back: sizes and digests of what was read (the red samples of the
+    drawn parts, frame after frame), a feature (frames, duration, colours of the canvases), and ``damage``.
+
+    Cases: a null medium gives nulls; a damaged one the digests of the frames before the damage, and what is wrong in
+    ``damage`` (else null); otherwise as frame_table().
+    """
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "damage"]
+
+    def digests(stored: bytes) -> tuple:
+        n, ms, size, tail, damage = 0, 0, 0, b"", None
+        sha, total = hashlib.sha256(), np.zeros(LEVELS**3, np.int64)
+        try:
+            for f in frames_of(stored):
+                payload = f.drawn()[..., 0].tobytes()
+                sha.update(payload)
+                size += len(payload)
+                tail = (tail + payload[-16:])[-16:]
+                total += f.histogram()
+                n, ms = n + 1, ms + f.delay_ms
+        except DamagedGIF as e:
+            damage = str(e)
+        colours = ",".join(f"{i}:{v}" for i, v in enumerate(total.tolist()) if v)
+        return size, sha.hexdigest(), zlib.crc32(tail), len(stored), hashlib.sha256(stored).hexdigest(), f"frames={n};ms={ms};colours={colours}", damage
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for b in batches:
-            cols: list[list] = [[] for _ in names[2:]]
-            for m in b.column(2):
-                stored = m.as_py()
-                frames = read_gif(stored)
-                payload = b"".join(f.canvas[f.box[1] : f.box[1] + f.box[3], f.box[0] : f.box[0] + f.box[2], 0].tobytes() for f in frames)
-                total = np.sum([histogram(f) for f in frames], axis=0).tolist()
-                feature = f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};histogram={','.join(map(str, total))}"
-                for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature), strict=True):
-                    c.append(v)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows = [digests(m.as_py()) if m.is_valid else (None,) * 7 for m in b.column(2)]
+            cols = zip(*rows) if rows else [()] * 7
             yield pa.record_batch([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), F.col("media").cast("binary").alias("media")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, damage string")
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:

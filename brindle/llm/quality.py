@@ -18,7 +18,7 @@ WINDOW = 8  # words of the windows whose repetition counts
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 TRAIN_DOCS = 600  # labelled documents of each class that the CRF is fitted on, at most
 TRAIN_LINES = 64  # lines of a training sequence; longer documents give several
-MAX_SEQUENCES = 6000  # training sequences, at most
+TRAIN_SEQUENCES = 8  # training sequences of one document, at most; of more, evenly spread ones
 EPOCHS, RATE, RIDGE = 120, 0.1, 1e-3
 CONTENT_SHARE = 0.5  # of the characters
 GROUP_BYTES = 1 << 21
@@ -211,9 +211,13 @@ def judge(texts: list[bytes], crf: LineCRF) -> dict[str, list]:
 
 
 def train_line_crf(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> LineCRF:
-    """Fit on at most TRAIN_DOCS labelled documents of each quality, those of the smallest id hashes.
+    """Fit on at most TRAIN_DOCS labelled documents of each quality, those of the smallest id hashes, and of each on at
+    most TRAIN_SEQUENCES runs of TRAIN_LINES lines. Executors turn texts into features; only these come to the driver,
+    2 * TRAIN_DOCS * TRAIN_SEQUENCES * TRAIN_LINES lines of one byte a feature at most (under 25 MB).
 
-    Without both classes the model is neutral: ties go to content and the base rules alone decide.
+    Cases: of an id's several labels the lowest quality counts, of its several texts the one of the least hash; null
+    ids, labels and texts do not train. Without both classes the model is neutral: ties go to content and the base
+    rules alone decide.
     """
     bounded_batches(spark)
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -222,19 +226,27 @@ def train_line_crf(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> L
     if not picks:
         return fit_crf([], [])
     chosen = spark.createDataFrame([(r["doc_id"], int(r["quality"])) for r in picks], "doc_id long, quality int")
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").collect()  # TRAIN_DOCS of each class at most
-    rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))}.values(), key=lambda r: r["doc_id"])
-    seqs, ys = [], []
-    for r in rows:
-        lines = r["text"].encode().split(b"\n")
-        x = line_features(lines, repeated_lines(lines))
-        for a in range(0, len(lines), TRAIN_LINES):
-            seqs.append(x[a : a + TRAIN_LINES])
-            ys.append(r["quality"])
-    if len(seqs) > MAX_SEQUENCES:
-        pick = np.linspace(0, len(seqs) - 1, MAX_SEQUENCES).astype(int)
-        seqs, ys = [seqs[i] for i in pick], [ys[i] for i in pick]
-    return fit_crf(seqs, ys)
+    size = line_features([b""], np.zeros(1, bool)).shape[1]
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                lines = b.column(1)[i].as_py().split(b"\n")
+                again = repeated_lines(lines)
+                starts = range(0, len(lines), TRAIN_LINES)
+                if len(starts) > TRAIN_SEQUENCES:
+                    starts = [starts[k] for k in np.linspace(0, len(starts) - 1, TRAIN_SEQUENCES).astype(int)]
+                packed = [line_features(lines[a : a + TRAIN_LINES], again[a : a + TRAIN_LINES]).astype(np.uint8).tobytes() for a in starts]
+                k = len(packed)
+                yield pa.record_batch([pa.array([b.column(0)[i].as_py()] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([b.column(2)[i].as_py()] * k, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "part", "quality", "features"])
+
+    body = F.col("text").cast("string")
+    hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    order = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    one = hits.groupBy("doc_id", "quality").agg(F.min_by("text", order).alias("text"))
+    rows = one.select("doc_id", F.encode("text", "UTF-8").alias("text"), "quality").mapInArrow(sequences, "doc_id long, part int, quality int, features binary").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["part"]))
+    return fit_crf([np.frombuffer(r["features"], np.uint8).reshape(-1, size).astype(np.float32) for r in rows], [r["quality"] for r in rows])
 
 
 def _groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -271,7 +283,11 @@ def quality_table(spark: SparkSession, docs: DataFrame, crf: LineCRF) -> DataFra
 
 
 def keep_quality(docs: DataFrame, crf: LineCRF) -> DataFrame:
-    """The rows of docs that are kept, with all their columns, whatever these are called."""
+    """The rows of docs that are kept, with all their columns, whatever these are called.
+
+    Cases: a null or empty text fails the base rules and goes; each row is judged by its text alone, so equal rows
+    stay or go together; long texts are judged whole; empty in, empty out.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import default_tokenizer_path, digests, tokenizer
-from .common import documents, partitions, save, text_or_empty, worker_threads
+from .common import documents, forget, partitions, save, text_or_empty, worker_threads
 
 END_ID = 0  # closes each document in the files
 BLOCK_IDS = 1 << 18  # ids in a block of the files, more only if one document has more
-SLICE_IDS = 1 << 20  # ids coded at once
+BUCKET_IDS = 1 << 26  # ids aimed at in a bucket of the files
+SAMPLE_ROWS = 1 << 15  # rows whose keys place the buckets' bounds, about
 
 
 # -- encoding and decoding -----------------------------------------------------------------------
@@ -81,10 +83,11 @@ def unpack_ranks(control: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndar
 def write_token_files(spark: SparkSession, df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
     """Encode, rank ids by their frequency in the corpus, write blocks; (the files' rows, id of each rank).
 
-    The files are Parquet rows of blocks (bucket, start in bucket, doc_ids, counts, control, data);
-    buckets are ranges of doc_id in ascending order, and so are the documents inside. Spark's
-    commit protocol makes a retried task harmless. Only the id counts (at most the vocabulary)
-    and the bucket bounds come to the driver.
+    The files are Parquet rows of blocks (bucket, start in bucket, doc_ids, known, counts, control,
+    data); buckets are ranges of (doc_id, length, hash of the ids, row), nulls first, and so ordered
+    are the documents inside: a doc_id that many rows share, or rows that are all equal, are many
+    buckets. Spark's commit protocol makes a retried task harmless. Only the id counts (at most the
+    vocabulary) and about SAMPLE_ROWS keys of four numbers come to the driver.
     """
     bpe = tokenizer(path)
     vocab = bpe.vocab_size
@@ -97,14 +100,14 @@ def write_token_files(spark: SparkSession, df: DataFrame, path: str, doc_id: str
             yield pa.record_batch([b.column(0), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array([np.append(x, END_ID).astype(kind).tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"])
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    encoded = save(spark, rows.mapInArrow(encode, "doc_id long, n long, ids binary"), "token-ids")
+    encoded = rows.mapInArrow(encode, "doc_id long, n long, ids binary")
+    encoded = save(spark, encoded.select("*", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row")), "token-ids")
     kind = np.dtype("<u2" if vocab <= 1 << 16 else "<u4")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(vocab, np.int64)
         for b in batches:
-            for x in b.column(0):
-                seen += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=vocab)
+            seen += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=vocab)
         some = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(some, pa.int32()), pa.array(seen[some], pa.int64())], ["id", "n"])
 
@@ -116,32 +119,34 @@ def write_token_files(spark: SparkSession, df: DataFrame, path: str, doc_id: str
     rank_of[by_rank] = np.arange(vocab, dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)  # one number for each entry of the vocabulary
 
-    buckets = 4 * partitions(spark)
-    bounds = encoded.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(bucket).cast("int")
+    size = encoded.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids")).first()
+    buckets = max(4 * partitions(spark), -(-size["ids"] // BUCKET_IDS))
+    key = (F.col("doc_id").isNotNull().cast("int").alias("known"), "doc_id", "n", "h", "row")
+    part = F.pmod(F.xxhash64("row"), F.lit(max(1, size["rows"] // SAMPLE_ROWS)))
+    sample = sorted((r[0], r[1] or 0, *r[2:]) for r in encoded.where(part == 0).select(*key).collect())
+    bounds = sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)}) if sample else []
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for b in batches:
             control, data = [], []
-            for x in b.column(3):
+            for x in b.column(2):
                 c, d = pack_ranks(rank[np.frombuffer(x.as_buffer(), kind)])
                 control.append(c)
                 data.append(d)
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["bucket", "doc_id", "n", "control", "data"])
+            own = [bisect_right(bounds, (int(doc is not None), doc or 0, *rest)) for doc, *rest in zip(*[b.column(i).to_pylist() for i in (0, 1, 3, 4)], strict=True)]
+            yield pa.record_batch([pa.array(own, pa.int32()), b.column(0), b.column(1), b.column(3), b.column(4), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["bucket", "doc_id", "n", "h", "row", "control", "data"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "start", "n", "doc_ids", "counts", "control", "data"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["bucket", "start", "n", "doc_ids", "known", "counts", "control", "data"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
         open_bucket, at = None, 0
         held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.array([-1 if h[0] is None else h[0] for h in held], "<i8")
-            row = [open_bucket, at, size, ids.tobytes(), np.array([h[1] for h in held], "<i8").tobytes(), b"".join(h[2] for h in held), b"".join(h[3] for h in held)]
+            ids, known = np.array([h[0] or 0 for h in held], "<i8"), np.array([h[0] is not None for h in held], np.uint8)
+            row = [open_bucket, at, size, ids.tobytes(), known.tobytes(), np.array([h[1] for h in held], "<i8").tobytes(), b"".join(h[2] for h in held), b"".join(h[3] for h in held)]
             return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for b in batches:
@@ -159,9 +164,10 @@ def write_token_files(spark: SparkSession, df: DataFrame, path: str, doc_id: str
         if held:
             yield flush()
 
-    packed = encoded.select(bucket.alias("bucket"), "doc_id", "n", "ids").mapInArrow(pack, "bucket int, doc_id long, n long, control binary, data binary")
-    ordered = packed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "doc_id", "n", "data")
-    files = save(spark, ordered.mapInArrow(blocks, "bucket int, start long, n long, doc_ids binary, counts binary, control binary, data binary"), "token-files", compression="uncompressed")
+    packed = encoded.select("doc_id", "n", "ids", "h", "row").mapInArrow(pack, "bucket int, doc_id long, n long, h long, row long, control binary, data binary")
+    ordered = packed.repartition(min(buckets, max(partitions(spark), buckets // 4)), "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", "h", "row").select("bucket", "doc_id", "n", "control", "data")
+    files = save(spark, ordered.mapInArrow(blocks, "bucket int, start long, n long, doc_ids binary, known binary, counts binary, control binary, data binary"), "token-files", compression="uncompressed")
+    forget(spark, encoded)
     return files, by_rank
 
 
@@ -172,7 +178,7 @@ def read_token_files(spark: SparkSession, files: DataFrame, by_rank: np.ndarray)
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = shared.value
         for b in batches:
-            for bucket, start, docs, counts, control, data in zip(*[b.column(i) for i in range(6)], strict=True):
+            for bucket, start, docs, known, counts, control, data in zip(*[b.column(i) for i in range(7)], strict=True):
                 docs, counts = np.frombuffer(docs.as_buffer(), "<i8"), np.frombuffer(counts.as_buffer(), "<i8")
                 control, data = np.frombuffer(control.as_buffer(), np.uint8), np.frombuffer(data.as_buffer(), np.uint8)
                 crc = np.empty(len(docs), np.int64)
@@ -181,17 +187,16 @@ def read_token_files(spark: SparkSession, files: DataFrame, by_rank: np.ndarray)
                     ranks, used = unpack_ranks(control[c:], data[d:], n)
                     crc[i] = zlib.crc32(ids_of[ranks].astype("<u4").tobytes())
                     c, d = c + -(-n // 4), d + used
-                k = len(docs)
-                null = np.full(k, bucket.as_py() < 0)
+                null = np.frombuffer(known.as_buffer(), np.uint8) == 0
                 yield pa.record_batch(
-                    [pa.array(np.full(k, bucket.as_py(), np.int32)), pa.array(docs, pa.int64(), mask=null), pa.array(start.as_py() + np.cumsum(counts) - counts), pa.array(counts, pa.int64()), pa.array(crc)],
+                    [pa.array(np.full(len(docs), bucket.as_py(), np.int32)), pa.array(docs, pa.int64(), mask=null), pa.array(start.as_py() + np.cumsum(counts) - counts), pa.array(counts, pa.int64()), pa.array(crc)],
                     ["bucket", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 
     totals = files.groupBy("bucket").agg(F.sum("n").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # a row for each bucket, their number is set
-    rows = files.select("bucket", "start", "doc_ids", "counts", "control", "data").mapInArrow(decode, "bucket int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    rows = files.select("bucket", "start", "doc_ids", "known", "counts", "control", "data").mapInArrow(decode, "bucket int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(offsets), "bucket").select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -199,8 +204,8 @@ def token_file_index(spark: SparkSession, df: DataFrame, path: str) -> DataFrame
     """Write df's token files and read them back.
 
     Cases: a null text is an empty one (the end id alone); a null doc_id sorts before all;
-    rows with one doc_id are ordered by length and content; other columns are ignored; an empty
-    table gives no files and no rows.
+    rows with one doc_id are ordered by length and a hash of their ids; other columns are ignored;
+    an empty table gives no files and no rows. A document's ids are one cell: 2 GB of them at most.
     """
     return read_token_files(spark, *write_token_files(spark, df, path))
 
