@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import json
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, save, text_or_empty
+from .common import documents, forget, save, text_or_empty
 
 TRAIN_ROWS = 6000  # labelled documents the classifier is fitted on, at most
-TRAIN_BYTES = 65_536  # labelled documents longer than this are not trained on
-TELLTALE_WORDS = 96  # words whose presence counts, the most telling ones
-MIN_DOCS = 8  # labelled documents that must have a telltale word
+MIN_DOCS = 5  # labelled documents of a language that must have a telltale word
+#: A word is telltale in a language if one domain has it RATIO times as often as each other one, with a likelihood ratio
+#: statistic of SIGNIFICANCE or more against each (about one chance in 10,000). All such words count, whatever their number.
+SIGNIFICANCE, RATIO = 15.0, 2.5
+STEM_LETTERS = (6, 8)  # words this long or longer count by such beginnings, too
+SPACES, NO_LETTERS = r"[ \t\n\x0B\f\r]+", r"[^\p{L}\p{M} \t\n\x0B\f\r]+"
 ROUNDS = 40
-TOLERANCE = 1e-9
-DAMPING = 1e-4
+TOLERANCE = 1e-6  # relative gap that ends the rounds
+REPORTED = 1e-2  # relative gap beyond which targets count as missed
+CALM = 1e-4  # weight of a rate's distance from 1 against the gap
+RIDGE = 1e-9  # of the Gram matrix, relative
 DOMAINS = ("clean", "toxic", "low")
 #: Wanted expected tokens of each domain, as a share of what it has.
 KEEP = (1.0, 0.25, 0.5)
@@ -30,20 +37,25 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def with_features(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """distinct words, tokens, and shape features of a (doc_id, text) table; ``carry`` columns stay."""
+    """lang, distinct words (letters, lower case) with their stems, tokens, and shape features of a table (doc_id, text,
+    lang); ``carry`` columns stay."""
     body = F.col("body")
     n = F.greatest(F.length(body), F.lit(1)).cast("double")
+
+    def stems(k: int) -> Column:
+        return F.transform(F.filter("plain", lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("-")))
+
     return (
-        df.select(*carry, "doc_id", text_or_empty().alias("body"))
-        .withColumn("all_words", F.filter(F.split(body, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
-        .withColumn("tokens", F.size("all_words").cast("long"))
-        .withColumn("words", F.array_distinct("all_words"))
+        df.select(*carry, "doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_or_empty().alias("body"))
+        .withColumn("tokens", F.regexp_count("body", F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long"))
+        .withColumn("plain", F.array_distinct(F.split(F.regexp_replace(F.lower("body"), NO_LETTERS, ""), SPACES)))
+        .withColumn("words", F.array_distinct(F.concat("plain", *[stems(k) for k in STEM_LETTERS])))
         .withColumn("k", F.greatest(F.col("tokens"), F.lit(1)).cast("double"))
         .select(
-            *carry, "doc_id", "tokens", "words",
+            *carry, "doc_id", "lang", "tokens", "words",
             ((F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>!]+", ""))) / F.col("k")).alias("f_symbols"),
             ((F.length(body) - F.length(F.regexp_replace(body, r"[A-Z]+", ""))) / n).alias("f_upper"),
-            (F.size("words") / F.col("k")).alias("f_distinct"),
+            (F.size("plain") / F.col("k")).alias("f_distinct"),
             F.log(n / F.col("k")).alias("f_length"),
         )
     )
@@ -51,62 +63,96 @@ def with_features(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
 @dataclass
 class DomainModel:
-    """Naive Bayes: log priors, telltale words with the share of documents that have them, mean and
-    variance of shape features, by domain. A telltale word counts when it is missing, too."""
+    """Naive Bayes: by language log priors and telltale words with the share of documents that have them, by domain; mean
+    and variance of shape features by domain. A telltale word counts when it is missing, too. Language "" stands for
+    any that is not listed."""
 
-    prior: list[float]
-    words: dict[str, list[float]]
+    prior: dict[str, list[float]]
+    words: dict[str, dict[str, list[float]]]
     shape: list[list[tuple[float, float]]]
 
     def posteriors(self, featured: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         """doc_id, tokens and p, an array<double> over DOMAINS, of with_features()'s rows.
 
-        Steps are columns of their own: an expression inside a lambda is evaluated for each element.
+        Steps are columns of their own: an expression inside a lambda is evaluated for each element. The model is one
+        literal, folded once.
         """
-        absent = [sum(math.log1p(-share[d]) for share in self.words.values()) for d in range(len(DOMAINS))]
-        scores = [F.lit(p + a) for p, a in zip(self.prior, absent, strict=True)]
-        for d, shape in enumerate(self.shape):
-            for name, (mean, var) in zip(SHAPE, shape, strict=True):
+        base = {g: [p + sum(math.log1p(-share[d]) for share in self.words[g].values()) for d, p in enumerate(prior)] for g, prior in self.prior.items()}
+        odds = {g: {w: [math.log(x / (1 - x)) for x in shares] for w, shares in sorted(words.items())} for g, words in self.words.items()}
+        known = {g: sorted(words) for g, words in self.words.items()}
+
+        def table(value: dict, kind: str) -> Column:
+            return F.element_at(F.from_json(F.lit(json.dumps(value)), f"map<string,{kind}>"), F.col("group"))
+
+        shape = [F.lit(0.0)] * len(DOMAINS)
+        for d, fitted in enumerate(self.shape):
+            for name, (mean, var) in zip(SHAPE, fitted, strict=True):
                 z = (F.col(name) - F.lit(mean)) * (F.col(name) - F.lit(mean)) / F.lit(2 * var)
-                scores[d] = scores[d] - F.least(z, F.lit(12.0)) - F.lit(0.5) * F.log(F.lit(var))
-        s = F.array(*scores)
-        if self.words:
-            listed = sorted(self.words)
-            hit = F.array_intersect("words", F.array(*[F.lit(w) for w in listed]))
-            table = F.map_from_arrays(F.array(*[F.lit(w) for w in listed]), F.array(*[F.array(*[F.lit(math.log(x / (1 - x))) for x in self.words[w]]) for w in listed]))
-            s = F.aggregate(hit, s, lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
+                shape[d] = shape[d] - F.least(z, F.lit(12.0)) - F.lit(0.5) * F.log(F.lit(var))
         keep = [*carry, "doc_id", "tokens"]
-        scored = featured.select(*keep, s.alias("s"))
+        group = F.when(F.col("lang").isin(*[g for g in known if g]), F.col("lang")).otherwise("") if len(known) > 1 else F.lit("")
+        shaped = featured.select(*keep, "words", group.alias("group"), F.array(*shape).alias("shape"))
+        hits = shaped.select(*keep, "group", F.zip_with("shape", table(base, "array<double>"), lambda x, y: x + y).alias("s"), F.array_intersect("words", table(known, "array<string>")).alias("hit"))
+        each = hits.select(*keep, "s", F.transform("hit", lambda w: F.element_at(table(odds, "map<string,array<double>>"), w)).alias("o"))
+        scored = each.select(*keep, F.aggregate("o", F.col("s"), lambda a, o: F.zip_with(a, o, lambda x, y: x + y)).alias("s"))
         raised = scored.select(*keep, "s", F.array_max("s").alias("top")).select(*keep, F.transform("s", lambda x: F.exp(x - F.col("top"))).alias("e"))
         summed = raised.select(*keep, "e", F.aggregate("e", F.lit(0.0), lambda a, y: a + y).alias("z"))
         return summed.select(*keep, F.transform("e", lambda x: x / F.col("z")).alias("p"))
 
 
+def _likelihood_ratio(a: Column, n: Column, b: Column, m: Column) -> Column:
+    """The G statistic of a in n against b in m; 1 degree of freedom."""
+    share = (a + b) / (n + m)
+
+    def cell(x: Column, want: Column) -> Column:
+        return F.when(x > 0, x * F.log(x / want)).otherwise(0.0)
+
+    return 2 * (cell(a, n * share) + cell(n - a, n * (1 - share)) + cell(b, m * share) + cell(m - b, m * (1 - share)))
+
+
 def fit_domains(docs: DataFrame, labels: DataFrame) -> DomainModel:
-    """Fit on at most TRAIN_ROWS labelled documents of at most TRAIN_BYTES, those of the smallest id hashes.
+    """Fit on at most TRAIN_ROWS labelled documents, those of the smallest id hashes; docs has doc_id, text, lang.
 
-    A domain without labelled rows gets the prior of one row and the shape of all rows.
+    Cases: of an id's several labels toxic and low quality win, of its several texts the one of the least hash trains;
+    a domain without labelled rows gets the prior of one row and the shape of all rows; null languages are one.
     """
+    spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     known = known.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where("domain is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    sample = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(known), "doc_id")  # TRAIN_ROWS rows of two numbers
-    rows = save(docs.sparkSession, with_features(sample).join(F.broadcast(known), "doc_id"), "labelled")
-    stats = {r["domain"]: r for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{k}") for c in SHAPE for k, f in (("m", F.avg), ("v", F.var_pop))]).collect()}
-    every = rows.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{k}") for c in SHAPE for k, f in (("m", F.avg), ("v", F.var_pop))]).first()
-    total = max(1, every["n"])
+    hits = docs.select("doc_id", "text", "lang").where("text IS NOT NULL").join(F.broadcast(known), "doc_id")  # TRAIN_ROWS rows of two numbers
+    one = hits.groupBy("doc_id", "domain").agg(F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), "lang")).alias("row"))
+    rows = save(spark, with_features(one.select("doc_id", "domain", "row.text", "row.lang"), ["domain"]), "labelled")
     k = range(len(DOMAINS))
-    size = [stats[d]["n"] if d in stats else 1 for d in k]
+    moments = [F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{m}") for c in SHAPE for m, f in (("m", F.avg), ("v", F.var_pop))]]
+    stats = {r["domain"]: r for r in rows.groupBy("domain").agg(*moments).collect()}
+    every = rows.agg(*moments).first()
     shape = [[(float((stats.get(d) or every)[f"{c}_m"] or 0.0), float((stats.get(d) or every)[f"{c}_v"] or 0.0) + 1e-3) for c in SHAPE] for d in k]
-    seen = rows.select("domain", F.explode("words").alias("w")).groupBy("w").agg(*[F.sum((F.col("domain") == d).cast("long")).alias(f"n{d}") for d in k])
-    rate = [(F.col(f"n{d}") + 0.1) / F.lit(size[d] + 1.0) for d in k]
-    second = F.element_at(F.array_sort(F.array(*rate)), -2)  # what tells one domain from all others
-    spread = F.greatest(*rate) / second
-    telling = seen.where(F.expr(" + ".join(f"n{d}" for d in k)) >= MIN_DOCS).orderBy((F.log(spread) * F.greatest(*rate)).desc(), "w").limit(TELLTALE_WORDS).collect()
-    words = {}
-    for r in telling:
-        odds = [(r[f"n{d}"] + 0.1) / (size[d] + 1.0) for d in k]
-        words[r["w"]] = odds
-    prior = [math.log(x / total) for x in size]
+    counts: dict[str, list[int]] = {"": [stats[d]["n"] if d in stats else 0 for d in k]}
+    for r in rows.groupBy("lang", "domain").count().collect():
+        counts.setdefault(r["lang"], [0 for _ in k])[r["domain"]] += r["count"] if r["lang"] else 0
+    size = {g: [max(1, x) for x in n] for g, n in counts.items()}
+    spoken = rows.select("domain", F.explode("words").alias("w"), "lang")
+    total = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{d}") for d in k]
+    seen = spoken.where("lang <> ''").groupBy("lang", "w").agg(*total).unionByName(spoken.groupBy("w").agg(*total).withColumn("lang", F.lit("")))
+    sizes = spark.createDataFrame([(g, *map(float, n)) for g, n in size.items()], "lang string, " + ", ".join(f"m{d} double" for d in k))
+    judged = seen.where(F.expr(" + ".join(f"n{d}" for d in k)) >= MIN_DOCS).where("w <> ''").join(F.broadcast(sizes), "lang")
+    rate = [(F.col(f"n{d}") + 0.1) / (F.col(f"m{d}") + 1.0) for d in k]
+
+    def wins(d: int) -> Column:
+        out = F.lit(True)
+        for o in k:
+            if o != d:
+                out = out & (rate[d] >= RATIO * rate[o]) & (_likelihood_ratio(F.col(f"n{d}"), F.col(f"m{d}"), F.col(f"n{o}"), F.col(f"m{o}")) >= SIGNIFICANCE)
+        return out
+
+    telltale = wins(0)
+    for d in k[1:]:
+        telltale = telltale | wins(d)
+    words: dict[str, dict[str, list[float]]] = {g: {} for g in size}
+    for r in judged.where(telltale).collect():
+        words[r["lang"]][r["w"]] = [(r[f"n{d}"] + 0.1) / (size[r["lang"]][d] + 1.0) for d in k]
+    prior = {g: [math.log(x / sum(n)) for x in n] for g, n in size.items()}
+    forget(spark, rows)
     return DomainModel(prior, words, shape)
 
 
@@ -126,37 +172,59 @@ def _solve(m: list[list[float]], b: list[float]) -> list[float]:
     return [a[i][n] / a[i][i] if abs(a[i][i]) >= 1e-300 else 0.0 for i in range(n)]
 
 
-def fitted_rates(members: DataFrame, targets: Sequence[float]) -> Column:
-    """The rate of each row of a (tokens, p) table: r >= 0 nearest to 1 with sum(tokens*r*p[k]) near targets[k].
+@dataclass
+class Fit:
+    """How far the rounds came: the largest gap between a domain's expected tokens and its target, relative to what it has."""
+
+    rounds: int
+    missed: float
+
+
+def fitted_rates(members: DataFrame, targets: Sequence[float]) -> tuple[Column, Fit]:
+    """The rate of each row of a (tokens, p) table: r >= 0, near 1, with sum(tokens*r*p[k]) near targets[k].
 
-    Projected gradient descent on the squared distance to the targets. A round is one aggregate of
-    domains + domains^2 sums over the table; the driver turns the gap into a step, preconditioned
-    by the Gram matrix of the rows whose rate is not zero. A row's rate is a fold over the steps so
-    far, so nothing is stored or shuffled between rounds.
+    Projected gradient descent on the squared distance g to the targets, in the metric of the Gram matrix
+    M = sum(tokens * p * p') of all rows, plus CALM * sum(tokens * (r - 1)^2). In that metric the curvature is
+    1 + CALM, so the step is 1 / (1 + CALM), every round comes closer, and nothing can run away: r becomes
+    max(0, r - step * (p' M^-1 g + CALM * (r - 1))). A round is one aggregate of a sum per domain over the table. A
+    row's rate is a fold over the steps so far, so nothing is stored or shuffled between rounds. Targets that no
+    rates meet are reported.
     """
     k = len(targets)
     steps: list[list[float]] = []
+    step = 1 / (1 + CALM)
+    p = [F.col("p")[i] for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = members.agg(*[F.coalesce(F.sum(F.col("tokens") * p[i] * p[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i, j in pairs], *[F.coalesce(F.sum(F.col("tokens") * p[i]), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
+    have = [sums[f"t{i}"] for i in range(k)]
+    gram = [[sums[f"m{min(i, j)}_{max(i, j)}"] * (1 + RIDGE if i == j else 1) for j in range(k)] for i in range(k)]
 
     def rate() -> Column:
         if not steps:
             return F.lit(1.0)
-        listed = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
-        return F.aggregate(listed, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r + sum((F.col("p")[i] * s[i] for i in range(1, k)), F.col("p")[0] * s[0])))
+        listed = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
+
+        def after(r: Column, s: Column) -> Column:
+            move = F.col("p")[0] * s[0]
+            for i in range(1, k):
+                move = move + F.col("p")[i] * s[i]
+            return F.greatest(F.lit(0.0), r + move - F.lit(step * CALM) * (r - F.lit(1.0)))
+
+        return F.aggregate(listed, F.lit(1.0), after)
 
+    missed = last = math.inf
     for _ in range(ROUNDS):
         live = members.select("tokens", "p", rate().alias("r"))
-        p = [F.col("p")[i] for i in range(k)]
-        sums = live.agg(
-            *[F.coalesce(F.sum(F.col("tokens") * F.col("r") * p[i]), F.lit(0.0)).alias(f"a{i}") for i in range(k)],
-            *[F.coalesce(F.sum(F.when(F.col("r") > 0, F.col("tokens") * p[i] * p[j])), F.lit(0.0)).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)],
-        ).first()
+        sums = live.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("r") * p[i]), F.lit(0.0)).alias(f"a{i}") for i in range(k)]).first()
         gap = [t - sums[f"a{i}"] for i, t in enumerate(targets)]
-        if max(abs(g) for g in gap) <= TOLERANCE * max(1.0, *targets):
+        missed = max(abs(g) / max(1.0, h) for g, h in zip(gap, have, strict=True))
+        if missed <= TOLERANCE or abs(last - missed) <= 1e-3 * missed:
             break
-        damp = DAMPING * max(1.0, *[sums[f"m{i}_{i}"] for i in range(k)])  # domains that hardly exist must not throw the rates far
-        gram = [[sums[f"m{min(i, j)}_{max(i, j)}"] + (damp if i == j else 0.0) for j in range(k)] for i in range(k)]
-        steps.append(_solve(gram, gap))
-    return rate()
+        last = missed
+        steps.append([step * x for x in _solve(gram, gap)])
+    if missed > REPORTED:
+        warnings.warn(f"mixing targets are missed by {missed:.1%} of a domain's tokens after {len(steps)} rounds", stacklevel=2)
+    return rate(), Fit(len(steps), missed)
 
 
 def _copies() -> Column:
@@ -164,34 +232,45 @@ def _copies() -> Column:
     return F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("long")
 
 
-def fit_mixing(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: Sequence[float]) -> tuple[DomainModel, DataFrame, Column]:
-    """(classifier, every row's doc_id, tokens and posteriors, rate of such a row)."""
-    model = fit_domains(docs, labels)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+def _base(docs: DataFrame) -> list[Column]:
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), lang]
+
+
+def fit_mixing(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: Sequence[float]) -> tuple[DomainModel, DataFrame, Column, Fit]:
+    """(classifier, every row's doc_id, tokens and posteriors, rate of such a row, how near the targets came)."""
+    base = docs.select(*_base(docs))
+    model = fit_domains(base, labels)
     members = save(spark, model.posteriors(with_features(base)), "memberships")
     have = members.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(len(DOMAINS))]).first()
-    return model, members, fitted_rates(members, [s * have[f"t{i}"] for i, s in enumerate(keep)])
+    return model, members, *fitted_rates(members, [s * have[f"t{i}"] for i, s in enumerate(keep)])
 
 
 def mixing_table(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: Sequence[float] = KEEP) -> DataFrame:
-    """Per row: doc_id, tokens, p_clean, p_toxic, p_low, rate, copies.
+    """Per row: doc_id, tokens, p_clean, p_toxic, p_low, rate, copies, missed.
 
-    ``copies`` is the rate rounded down or up by the hash of doc_id, so that it is right on average.
+    ``copies`` is the rate rounded down or up by the hash of doc_id, so that it is right on average; ``missed`` is the
+    same in all rows, the largest gap to a target as a share of the domain's tokens (a warning tells of more than 1 %).
     Cases: a null text has no tokens, posteriors by shape alone, and any rate leaves the totals as
     they are; a null doc_id is rounded by the hash of null; equal rows get equal rates; without
-    labels all documents have one posterior; other columns are ignored; empty in, empty out.
+    labels all documents have one posterior; a table without ``lang`` has one language; other columns are ignored;
+    empty in, empty out.
     """
-    _, members, rate = fit_mixing(spark, docs, labels, keep)
-    return members.select("doc_id", "tokens", "p", rate.alias("rate")).select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", _copies().alias("copies"))
+    _, members, rate, fit = fit_mixing(spark, docs, labels, keep)
+    return members.select("doc_id", "tokens", "p", rate.alias("rate")).select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", _copies().alias("copies"), F.lit(fit.missed).alias("missed"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: Sequence[float] = KEEP) -> DataFrame:
-    """docs with each row as often as its ``copies`` say. Posteriors are worked out again beside the
-    row's other columns, which is cheaper than a shuffle of all texts to join them."""
-    model, _, rate = fit_mixing(spark, docs, labels, keep)
+    """docs with each row as often as its ``copies`` say, all columns as they were. Posteriors are worked out again beside
+    the row's other columns, which is cheaper than a shuffle of all texts to join them.
+
+    Cases as in mixing_table(); columns of any name are kept apart from the operator's own; empty in, empty out.
+    """
+    model, members, rate, _ = fit_mixing(spark, docs, labels, keep)
     carry = [f"__c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, carry, strict=True)], F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, carry, strict=True)], *_base(docs))
     rated = model.posteriors(with_features(rows, carry), carry).select(*carry, "doc_id", rate.alias("rate")).select(*carry, _copies().alias("copies"))
+    forget(spark, members)
     # outer: a test of the array's size would be pushed below with all of its expressions
     out = rated.select(*carry, F.explode_outer(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one")).where("one IS NOT NULL")
     return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, carry, strict=True)])
