@@ -11,7 +11,9 @@ A sparse suffix array, sorted by a distributed merge sort that knows common pref
    equal ones to their least document, and sends the sorted run, front coded and cut by key ranges.
 4. A range merges its runs with a loser tree whose nodes keep the common prefix with the last output:
    known prefixes are never compared again. Neighbours with equal anchors give, for each window
-   around the anchor, the least document that has it.
+   around the anchor, the least document that has it; windows count as equal when their bytes are.
+   An anchor that fills ranges by itself is cut further: windows of neighbouring offsets share more
+   than the anchor, and what they share deals them out.
 5. These answers go back to the chunks, which cover and cut their documents' bytes.
 
 Chunks are buckets of a written table, so texts are written once and never shuffled.
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, release_memory, save, work_dir
+from .common import documents, forget, partitions, release_memory, save, work_dir
 
 LENGTH = 50  # bytes of a repeated string
 SEED = 20  # bytes of an anchor
@@ -37,6 +39,9 @@ SPAN = LENGTH - SEED  # an anchor lies 0 to SPAN bytes after its window's start
 KEY = LENGTH + SPAN + 3  # on, back, how many of each count, a closing 1
 CHUNK_BYTES = 4 << 20
 RANGE_BYTES = 8 << 20  # bytes of text for one range of keys
+SPOT_BYTES = 64 << 20  # bytes of text for one bucket of fingerprints; each chunk sends it a row
+#: Offsets (first, last) of windows that an often repeated anchor is cut into; all windows of a class share 42 bytes or more.
+CLASSES = ((0, 7), (8, 15), (16, 23), (24, SPAN))
 SAMPLE_ROWS = 4096  # chunks that give keys for the ranges' bounds, at most
 SAMPLE_KEYS = 64  # keys of each
 BLOCK = 1 << 17
@@ -106,8 +111,9 @@ def _body(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _spot(fp: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, what tells fingerprints of a bucket apart)."""
-    return ((fp >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), fp.astype(np.uint32)
+    """(bucket, what tells fingerprints of a bucket apart). Anchors have small hashes, so they are stirred again."""
+    g = _stir(fp * _ODD)
+    return ((g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), g.astype(np.uint32)
 
 
 # -- sorted runs ---------------------------------------------------------------------------------
@@ -217,25 +223,68 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
             node >>= 1
 
 
+def _equal_windows(h: np.ndarray, group: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """A number for each row; equal numbers mean equal groups and equal bytes. Hashes propose, bytes decide."""
+    _, first, back = np.unique(h, return_index=True, return_inverse=True)
+    like = first[back]
+    if np.array_equal(group, group[like]) and np.array_equal(window, window[like]):
+        return back
+    exact = np.concatenate([group.astype(">u8").view(np.uint8).reshape(-1, 8), window], axis=1)
+    return np.unique(np.ascontiguousarray(exact).view(f"V{exact.shape[1]}").ravel(), return_inverse=True)[1]
+
+
 def window_minima(keys: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
     """(n x SPAN+1): for each distinct key and each offset low..high the least document of the keys in
     its group whose window at that offset has the same 50 bytes."""
     text = np.concatenate([keys[:, LENGTH : LENGTH + SPAN][:, ::-1], keys[:, :LENGTH]], axis=1)
     sums = np.zeros((len(keys), text.shape[1] + 1), np.uint64)
     np.cumsum(_MIX[text] * _POWERS[: text.shape[1]], axis=1, out=sums[:, 1:])
-    offset = np.arange(SPAN + 1)
-    h = (sums[:, LENGTH + SPAN - offset] - sums[:, SPAN - offset]) * _INVERSE[SPAN - offset]
-    h = _stir(h + _stir(group.astype(np.uint64) * np.uint64(SPAN + 1))[:, None] + offset.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
-    inside = (offset >= low[:, None]) & (offset <= high[:, None])
-    row, col = np.nonzero(inside)
-    _, back = np.unique(h[row, col], return_inverse=True)
-    best = np.full(int(back.max()) + 1 if len(back) else 0, (1 << 63) - 1)
-    np.minimum.at(best, back, least[row])
+    salt = _stir(group.astype(np.uint64) * _ODD)
     out = np.repeat(least[:, None], SPAN + 1, axis=1)
-    out[row, col] = best[back]
+    for o in range(SPAN + 1):
+        row = np.flatnonzero((o >= low) & (o <= high))
+        if not len(row):
+            continue
+        start = SPAN - o
+        h = _stir((sums[row, start + LENGTH] - sums[row, start]) + salt[row])
+        back = _equal_windows(h, group[row], text[row, start : start + LENGTH])
+        best = np.full(int(back.max()) + 1, (1 << 63) - 1)
+        np.minimum.at(best, back, least[row])
+        out[row, o] = best[back]
     return out
 
 
+def hot_anchors(found: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds of ranges, anchors that fill two ranges or more, how many) from a sorted sample of anchors."""
+    if not len(found):
+        return found, found, np.zeros(0, np.int64)
+    bounds, often = np.unique(found[[i * len(found) // ranges for i in range(1, ranges)]], return_counts=True)
+    return bounds, bounds[often > 1], often[often > 1]
+
+
+def placed(data: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray, bounds: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(index into q, low, high, range, key) of each anchor: one range, or for a hot anchor one for each class of offsets
+    it has windows of, chosen by the bytes that all windows of the class share."""
+    seeds = np.ascontiguousarray(data[q[:, None] + np.arange(SEED)]).view(f"S{SEED}").ravel()
+    index, rng = np.arange(len(q)), np.searchsorted(bounds, seeds, "right").astype(np.int64)
+    at = np.searchsorted(hot, seeds)
+    is_hot = (hot[np.minimum(at, len(hot) - 1)] == seeds) if len(hot) else np.zeros(len(q), bool)
+    keys = suffix_keys(data, q[~is_hot], low[~is_hot], high[~is_hot])
+    found = [(index[~is_hot], low[~is_hot], high[~is_hot], rng[~is_hot], keys)]
+    base = len(bounds) + 1 + len(CLASSES) * (np.cumsum(parts) - parts)
+    for c, (first, last) in enumerate(CLASSES):
+        mine = np.flatnonzero(is_hot & (low <= last) & (high >= first))
+        if not len(mine):
+            continue
+        lo, hi = np.maximum(low[mine], first), np.minimum(high[mine], last)
+        keys = suffix_keys(data, q[mine], lo, hi)
+        shared = np.concatenate([keys[:, : LENGTH - last], keys[:, LENGTH : LENGTH + first]], axis=1)
+        deal = _stir((_MIX[shared] * _POWERS[: shared.shape[1]]).sum(axis=1, dtype=np.uint64)) >> np.uint64(32)
+        n = parts[at[mine]]
+        found.append((mine, lo, hi, base[at[mine]] + c * n + (deal.astype(np.int64) % n), keys))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 # -- the distributed sort ------------------------------------------------------------------------
 
 _RUN = "chunk long, range int, common binary, rest binary, least binary, several binary"
@@ -327,11 +376,13 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
 
     A null text is empty. A null doc_id counts as the smallest of all. Rows with one doc_id do not
     take from each other. Equal documents: all but the one with the smallest id go whole (if of 50
-    bytes or more). Texts may be longer than a chunk. Empty in, empty out.
+    bytes or more). Texts may be longer than a chunk. Columns of any name, also the operator's own
+    (c0, n_bytes, __ord), come back as c0, c1, ... in df's order. Empty in, empty out.
     """
     whole = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("__ord"), F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("__text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c != text])
     total = whole.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0)).alias("n")).first()["n"]
     ranges = max(2 * partitions(spark), -(-total // RANGE_BYTES))
+    spots = max(partitions(spark), -(-total // SPOT_BYTES))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done = TaskContext.get().partitionId(), 0
@@ -346,6 +397,7 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
     buckets = max(partitions(spark), min(1000, -(-total // (4 * CHUNK_BYTES))))
     whole.mapInArrow(number, schema).write.bucketBy(buckets, "__chunk").sortBy("__chunk").option("compression", "zstd").option("path", f"{work_dir(spark).rstrip('/')}/{name}").format("parquet").saveAsTable(name)
     chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and the plan above has them
     bodies = chunks.select("__chunk", "__ord", "__text")
 
     def fingerprint(key: tuple, table: pa.Table) -> pa.Table:
@@ -359,9 +411,11 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(fp)]]) - 1 if len(first) else first
         shared = doc[first] != doc[last]
-        bucket, rest = _spot(fp[first], ranges)
+        bucket, rest = _spot(fp[first], spots)
         rows = {"bucket": [], "chunk": [], "single": [], "shared": []}
-        cuts = np.searchsorted(bucket, np.arange(ranges + 1))
+        order = np.argsort(bucket, kind="stable")
+        bucket, rest, shared = bucket[order], rest[order], shared[order]
+        cuts = np.searchsorted(bucket, np.arange(spots + 1))
         for b in np.unique(bucket).tolist():
             s = slice(cuts[b], cuts[b + 1])
             rows["bucket"].append(b)
@@ -379,7 +433,7 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
     prints = save(spark, bodies.groupBy("__chunk").applyInArrow(fingerprint, "bucket int, chunk long, single binary, shared binary"), "fingerprint-runs", compression="uncompressed")
     sample = prints.where("bucket = -1").orderBy(F.xxhash64("chunk")).limit(SAMPLE_ROWS).select("single").collect()
     found = np.sort(np.frombuffer(b"".join(r["single"] for r in sample), f"S{SEED}"))
-    bounds = np.unique(found[[i * len(found) // ranges for i in range(1, ranges)]]) if len(found) else found
+    bounds, hot, parts = hot_anchors(found, ranges)
 
     def living(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk").to_pylist()
@@ -404,35 +458,38 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
             ids, sizes, data = _body(table)
             ends = np.cumsum(sizes)
             q, fp, p1, p2 = anchors(data, sizes)
-            bucket, rest = _spot(fp, ranges)
+            bucket, rest = _spot(fp, spots)
             known = np.concatenate([np.zeros(0, np.uint64), *[np.uint64(b.as_py()) << np.uint64(32) | np.frombuffer(x.as_py(), "<u4").astype(np.uint64) for b, x in zip(lives.column("bucket"), lives.column("alive"), strict=True)]])
             known.sort()
             mine = bucket.astype(np.uint64) << np.uint64(32) | rest.astype(np.uint64)
             hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))] == mine) if len(known) else np.zeros(0, np.int64)
             q, p1, p2 = q[hit], p1[hit], p2[hit]
             if len(q):
+                own, low, high, rng, matrix = placed(data, q, q - p2, q - p1, bounds, hot, parts)
+                q = q[own]
                 d = np.searchsorted(ends, q, "right")
-                matrix = suffix_keys(data, q, q - p2, q - p1)
-                keys, where, back = np.unique(matrix.reshape(-1).view(f"S{KEY}"), return_index=True, return_inverse=True)
+                tagged = np.concatenate([rng.astype(">u4").view(np.uint8).reshape(-1, 4), matrix], axis=1)
+                keys, where, back = np.unique(tagged.reshape(-1).view(f"S{KEY + 4}"), return_index=True, return_inverse=True)
                 least = np.full(len(keys), (1 << 63) - 1)
                 most = np.full(len(keys), LOWEST)
                 np.minimum.at(least, back, ids[d])
                 np.maximum.at(most, back, ids[d])
-                matrix = matrix[where]
-                cut = np.searchsorted(bounds, np.ascontiguousarray(matrix[:, :SEED]).view(f"S{SEED}").ravel(), "right")
-                edges = np.searchsorted(cut, np.arange(len(bounds) + 2))
-                for r in np.unique(cut).tolist():
-                    s = slice(edges[r], edges[r + 1])
+                matrix, cut = matrix[where], rng[where]
+                here, edges = np.unique(cut, return_index=True)
+                edges = np.append(edges, len(cut))
+                for r, a, b in zip(here.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    s = slice(a, b)
                     common, tail = front_code(matrix[s])
                     for c, v in zip(rows, (key[0].as_py(), r, *map(squeezed, (common, tail, least[s].astype("<i8").tobytes(), (most[s] > least[s]).astype(np.uint8).tobytes()))), strict=True):
                         c.append(v)
-                spot = (back - edges[cut[back]]).astype("<u4")  # the key's place in its run
-                for c, v in zip(rows, (key[0].as_py(), -1, *map(squeezed, (q.astype("<i8").tobytes(), spot.tobytes(), cut[back].astype("<i4").tobytes(), np.concatenate([q - p2, q - p1]).astype(np.uint8).tobytes()))), strict=True):
+                spot = (back - edges[np.searchsorted(here, rng)]).astype("<u4")  # the key's place in its run
+                for c, v in zip(rows, (key[0].as_py(), -1, *map(squeezed, (q.astype("<i8").tobytes(), spot.tobytes(), rng.astype("<i4").tobytes(), np.concatenate([low, high]).astype(np.uint8).tobytes()))), strict=True):
                     c.append(v)
         release_memory()
         return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
 
     runs = save(spark, bodies.groupBy("__chunk").cogroup(alive.groupBy("chunk")).applyInArrow(sort_chunk, _RUN), "suffix-runs", compression="uncompressed")
+    forget(spark, prints)
     answers = runs.where("range >= 0").groupBy("range").applyInArrow(_merge_range, "chunk long, range int, same_at binary, same binary, each_at binary, each binary")
     places = runs.where("range = -1").select("chunk", "range", F.col("common").alias("same_at"), F.col("rest").alias("same"), F.col("least").alias("each_at"), F.col("several").alias("each"))
     back = places.unionByName(answers)
