@@ -213,12 +213,12 @@ def fitted_rates(members: DataFrame, targets: Sequence[float]) -> tuple[Column,
         return F.aggregate(listed, F.lit(1.0), after)
 
     missed = last = math.inf
-    for _ in range(ROUNDS):
+    while True:
         live = members.select("tokens", "p", rate().alias("r"))
         sums = live.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("r") * p[i]), F.lit(0.0)).alias(f"a{i}") for i in range(k)]).first()
         gap = [t - sums[f"a{i}"] for i, t in enumerate(targets)]
         missed = max(abs(g) / max(1.0, h) for g, h in zip(gap, have, strict=True))
-        if missed <= TOLERANCE or abs(last - missed) <= 1e-3 * missed:
+        if missed <= TOLERANCE or abs(last - missed) <= 1e-3 * missed or len(steps) == ROUNDS:
             break
         last = missed
         steps.append([step * x for x in _solve(gram, gap)])

@@ -96,7 +96,24 @@ def test_near_copies_are_exact(spark, monkeypatch, block):
     rows = nearcopies.near_copies(spark, frame(spark, docs)).collect()
     got = {x.doc_id: x.component_id for x in rows}
     lower = [[w.lower() for w in d] for d in docs]
-    assert len(rows) == len(docs) and got == dict(enumerate(roots_of(lower).tolist()))
+    want = {i: c if docs[i] else i for i, c in enumerate(roots_of(lower).tolist())}  # without words: copies of nothing
+    assert len(rows) == len(docs) and got == want
+
+
+def test_copies_are_decided_by_row(spark):
+    """An id with several texts, equal rows, rows without an id, texts without words, clashing names."""
+    w, v = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    other = w.replace("w59", "end")  # a near copy
+    rows = [(3, w, 1), (5, " ".join(f"u{i}" for i in range(60)), 2), (5, w, 3), (5, w, 3), (6, None, 4), (7, "", 5), (8, " \n", 6), (8, " \n", 6), (9, other, 7), (None, w, 8), (None, v, 9), (None, v, 9), (4, v.upper(), 10)]
+    df = spark.createDataFrame([(i, t, s, s, s, "x") for i, t, s in rows], "doc_id long, text string, sig int, cluster int, k1 int, `a.b` string")
+    got = nearcopies.without_near_copies(spark, df)
+    assert got.columns == df.columns
+    assert sorted(r.sig for r in got.collect()) == [1, 2, 4, 5, 6, 6, 10]
+    alone = spark.createDataFrame([(None, w, 1), (None, w, 1), (2, v, 2), (2, v, 2)], "doc_id long, text string, sig int")
+    assert sorted(r.sig for r in nearcopies.without_near_copies(spark, alone).collect()) == [1, 2]
+    assert nearcopies.without_near_copies(spark, df.limit(0)).count() == 0
+    counted = {(r.doc_id, r.component_id, r.n) for r in nearcopies.near_copies(spark, df).collect()}
+    assert {(5, 3, 2), (None, 3, 1), (None, 4, 2), (9, 3, 1), (6, 6, 1), (8, 8, 2)} <= counted
 
 
 def test_exact_links_at_the_border():
