@@ -3,6 +3,8 @@ writes the next version, checks the constraints on it and only then points the t
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,6 +19,7 @@ from ..plans.lower import SQLError
 
 SPARK_TYPES = {"INT": T.LongType(), "FLOAT": T.DoubleType(), "TEXT": T.StringType(), "JSON": T.StringType(), "JSONB": T.VariantType()}
 ROWID = "__rowid"
+KEPT_VERSIONS = 3  # of a table: results that were not read yet may stand on the last ones
 
 
 @dataclass
@@ -39,6 +42,7 @@ class Table:
     indexes: dict[str, Index] = field(default_factory=dict)
     version: int = 0
     load: Callable[[], DataFrame] | None = None
+    paths: list[str] = field(default_factory=list)  # of its versions that are still there, oldest first
 
     def column(self, name: str) -> A.ColumnDef:
         for c in self.columns:
@@ -57,10 +61,29 @@ class Table:
 class Catalog:
     def __init__(self, spark: SparkSession, warehouse: str | None = None):
         self.spark = spark
-        self.root = warehouse or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="brindle-tables-")
+        self._root = warehouse or spark.conf.get("spark.checkpoint.dir", None)
         self.databases: dict[str, dict[str, Table]] = {"default": {}}
         self.current = "default"
 
+    @property
+    def root(self) -> str:
+        """The folder of managed tables, one that all machines share: only a local run may have one of its own."""
+        if not self._root:
+            if not self.spark.sparkContext.master.startswith("local["):
+                raise SQLError("set spark.checkpoint.dir, or the engine's warehouse, to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="brindle-tables-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            self._root = "file://" + folder
+        return self._root
+
+    def discard(self, table: Table, keep: int = 0) -> None:
+        """Remove a table's versions but the newest ``keep``."""
+        old = max(0, len(table.paths) - keep)
+        for path in table.paths[:old]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        del table.paths[:old]
+
     def database(self, name: str | None) -> dict[str, Table]:
         key = (name or self.current).lower()
         if key not in self.databases:
@@ -106,9 +129,15 @@ class Catalog:
         rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in table.schema()]).write.parquet(path)
         df = self.spark.read.schema(table.schema()).parquet(path)
         df = df.select(*[F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) if f.metadata else F.col(f"`{f.name}`") for f in table.schema()])
-        self.check(table, df)
+        try:
+            self.check(table, df)
+        except SQLError:
+            self.discard(Table(table.name, table.view, paths=[path]))
+            raise
         df.createOrReplaceTempView(table.view)
         table.version += 1
+        table.paths.append(path)
+        self.discard(table, KEPT_VERSIONS)
 
     def check(self, table: Table, df: DataFrame) -> None:
         for c in table.columns:

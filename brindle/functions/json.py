@@ -67,6 +67,13 @@ def json_value(text: str, kind: str, path: str) -> str:
     return bound(at_path(text, kind, path), "v", scalar_text)
 
 
+def json_value_as(text: str, kind: str, path: str, to: str, slow: str) -> str:
+    """CAST(JSON_VALUE(...) AS INT or FLOAT): digits are read at once, anything else goes through ``slow``, the two steps."""
+    pattern, sql = ("^[+-]?[0-9]+$", "BIGINT") if to == "INT" else ("^[+-]?[0-9]+([.][0-9]+)?$", "DOUBLE")
+    read = f"try_variant_get({document(text, kind)}, {quote(path_of(path))}, 'string')"
+    return f"(transform(array({read}), s -> CASE WHEN s IS NULL THEN NULL WHEN s RLIKE '{pattern}' THEN CAST(s AS {sql}) ELSE {slow} END)[0])"
+
+
 def json_query(text: str, kind: str, path: str) -> str:
     return bound(at_path(text, kind, path), "v", lambda v: f"(CASE WHEN schema_of_variant({v}) RLIKE '^(OBJECT|ARRAY)' THEN to_json({v}) END)")
 
@@ -89,12 +96,41 @@ def fragment(text: str, kind: str) -> str:
     if kind == "JSONB":
         return f"coalesce(to_json({text}), 'null')"
     if kind == "FLOAT":
-        return f"coalesce({float_text(text)}, 'null')"
+        return f"coalesce({float_json(text)}, 'null')"
     return f"coalesce(CAST({text} AS STRING), 'null')"
 
 
+def _digits(x: str) -> tuple[str, str, str]:
+    """(sign, digits, exponent) as texts, of a number whose own text has an exponent: -1.25E-7 is -, 125, -7."""
+    s = f"CAST({x} AS STRING)"
+    digits = f"regexp_replace(translate(split_part({s}, 'E', 1), '-.', ''), '0+$', '')"
+    return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END)", digits, f"CAST(split_part({s}, 'E', 2) AS INT)"
+
+
+def plain_float(x: str) -> str:
+    """The shortest digits without an exponent, whatever the size."""
+    sign, digits, e = _digits(x)
+    small = f"concat({sign}, '0.', repeat('0', - {e} - 1), {digits})"
+    large = f"concat({sign}, CASE WHEN length({digits}) <= {e} + 1 THEN rpad({digits}, {e} + 1, '0') ELSE concat(substring({digits}, 1, {e} + 1), '.', substring({digits}, {e} + 2)) END)"
+    return (
+        f"(CASE WHEN {x} = floor({x}) AND abs({x}) < 1e15 THEN CAST(CAST({x} AS BIGINT) AS STRING)"
+        f" WHEN NOT contains(CAST({x} AS STRING), 'E') THEN CAST({x} AS STRING) WHEN {e} < 0 THEN {small} ELSE {large} END)"
+    )
+
+
 def float_text(text: str) -> str:
-    return f"(CASE WHEN {text} = floor({text}) AND abs({text}) < 1e18 THEN CAST(CAST({text} AS BIGINT) AS STRING) ELSE CAST({text} AS STRING) END)"
+    return bound(text, "f", plain_float)
+
+
+def float_json(text: str) -> str:
+    """As float_text(), with an exponent below 1e-6 and from 1e21 on."""
+
+    def one(x: str) -> str:
+        sign, digits, e = _digits(x)
+        mantissa = f"CASE WHEN length({digits}) = 1 THEN {digits} ELSE concat(substring({digits}, 1, 1), '.', substring({digits}, 2)) END"
+        return f"(CASE WHEN {x} <> 0 AND (abs({x}) < 1e-6 OR abs({x}) >= 1e21) THEN concat({sign}, {mantissa}, CASE WHEN {e} < 0 THEN 'e' ELSE 'e+' END, {e}) ELSE {plain_float(x)} END)"
+
+    return bound(text, "f", one)
 
 
 def json_table(text: str, kind: str, path: str, columns: list[tuple[str, str, str]]) -> str:

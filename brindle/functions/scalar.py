@@ -69,7 +69,12 @@ def cast(text: str, kind: str, to: str) -> str:
 
 
 def match(text: str, term: str, tokenizer: str) -> str:
-    """text @@ term: a whole word of the text, or with the bigram tokenizer any part of it."""
+    """text @@ term: a whole word of the text, or with the bigram tokenizer any part of it. Most texts are told by a plain
+    search; only those that have the term somewhere are searched for it as a word."""
+    part = f"contains(lower({text}), lower({term}))"
     if tokenizer == "bigram":
-        return f"coalesce(contains(lower({text}), lower({term})), false)"
-    return f"coalesce(array_contains(split(lower({text}), '[^a-z0-9\\\\x{{80}}-\\\\x{{10FFFF}}]+'), lower({term})), false)"
+        return f"coalesce({part}, false)"
+    inside, outside = "[a-z0-9\\\\x{80}-\\\\x{10FFFF}]", "[^a-z0-9\\\\x{80}-\\\\x{10FFFF}]"
+    quoted = f"concat('(^|{outside})\\\\Q', lower({term}), '\\\\E($|{outside})')"
+    single = f"({term} RLIKE '^(?i){inside}*$')"
+    return f"coalesce({part} AND {single} AND lower({text}) RLIKE {quoted}, false)"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from ..session import Engine
-from ..sources.files import TABLES, register_folder
+from ..sources.files import TABLES, StatementLog, register_folder
 
 #: name: (statement, SQL of the oracle if it differs)
 STATEMENTS: dict[str, tuple[str, str | None]] = {
@@ -375,6 +377,50 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         "SELECT o.o_orderkey, count(*) AS n FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE c.c_mktsegment = 'BUILDING' GROUP BY o.o_orderkey ORDER BY n DESC, o.o_orderkey LIMIT 10",
         None,
     ),
+    'cast_float_text': (
+        'SELECT c_custkey, CAST(c_custkey * 1234567.25 AS TEXT) AS large, CAST(c_custkey / 65536.0 AS TEXT) AS small, CAST(c_nationkey * 100000000000000000000.0 AS TEXT) AS huge, CAST(-c_nationkey / 4.0 AS TEXT) AS neg FROM customer',
+        "SELECT c_custkey, rtrim(rtrim(printf('%.2f', c_custkey * 1234567.25), '0'), '.') AS large, CASE WHEN c_custkey % 65536 = 0 THEN CAST(c_custkey // 65536 AS VARCHAR) ELSE rtrim(printf('%.16f', c_custkey / 65536.0), '0') END AS small, CASE WHEN c_nationkey = 0 THEN '0' ELSE c_nationkey || '00000000000000000000' END AS huge, rtrim(rtrim(printf('%.2f', 0 - c_nationkey / 4.0), '0'), '.') AS neg FROM customer",
+    ),
+    'json_float': (
+        "SELECT n_nationkey, JSON_ARRAY(n_nationkey * 0.5, 0.0000005, 1234567.5, 1000000000000000000000.0) AS j FROM nation",
+        "SELECT n_nationkey, '[' || CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey // 2 AS VARCHAR) ELSE (n_nationkey // 2) || '.5' END || ',5e-7,1234567.5,1e+21]' AS j FROM nation",
+    ),
+    'arith_subquery': (
+        'SELECT r_regionkey, (SELECT COUNT(*) FROM region) / 2 AS h, (SELECT AVG(r_regionkey) FROM region) / 4 AS f FROM region',
+        'SELECT r_regionkey, CAST(2 AS BIGINT) AS h, 0.5::DOUBLE AS f FROM region',
+    ),
+    'arith_case_mixed': (
+        "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2.5 END / 2 AS x, COALESCE(NULLIF(o_custkey, 7), 0.5) / 2 AS y FROM orders",
+        "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1.25 END::DOUBLE AS x, CASE WHEN o_custkey = 7 THEN 0.25 ELSE o_custkey // 2 END::DOUBLE AS y FROM orders",
+    ),
+    'fn_round_digits': (
+        'SELECT c_custkey, ROUND(c_acctbal, 1) AS a, ROUND(c_acctbal, -2) AS b, ROUND(c_custkey, -1) AS c FROM customer',
+        'SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END * floor(abs(c_acctbal) * 10 + 0.5) / 10 AS a, CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END * floor(abs(c_acctbal) * 0.01 + 0.5) / 0.01 AS b, CAST((c_custkey + 5) // 10 * 10 AS BIGINT) AS c FROM customer',
+    ),
+    'fn_mod_negative': (
+        'SELECT c_custkey, MOD(-c_custkey, 7) AS a, MOD(c_custkey, -7) AS b, -c_custkey / 7 AS d FROM customer',
+        'SELECT c_custkey, CAST(-(c_custkey % 7) AS BIGINT) AS a, c_custkey % 7 AS b, CAST(-(c_custkey // 7) AS BIGINT) AS d FROM customer',
+    ),
+    'agg_bare_column': (
+        'SELECT n_regionkey, r_name, COUNT(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey',
+        'SELECT n_regionkey, any_value(r_name) AS r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey',
+    ),
+    'sub_in_corr_group': (
+        'SELECT c.c_custkey FROM customer c WHERE c.c_nationkey IN (SELECT MOD(o.o_orderkey, 25) FROM orders o WHERE o.o_custkey = c.c_custkey GROUP BY MOD(o.o_orderkey, 25))',
+        'SELECT c.c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderkey % 25 = c.c_nationkey)',
+    ),
+    'sub_in_corr_distinct': (
+        'SELECT c.c_custkey FROM customer c WHERE c.c_nationkey NOT IN (SELECT DISTINCT MOD(o.o_orderkey, 5) FROM orders o WHERE o.o_custkey = c.c_custkey)',
+        'SELECT c.c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderkey % 5 = c.c_nationkey)',
+    ),
+    'sub_in_corr_union': (
+        "SELECT r.r_regionkey FROM region r WHERE 3 IN (SELECT n.n_nationkey FROM nation n WHERE n.n_regionkey = r.r_regionkey UNION SELECT s.s_suppkey FROM supplier s WHERE s.s_nationkey = r.r_regionkey)",
+        "SELECT r.r_regionkey FROM region r WHERE EXISTS (SELECT 1 FROM nation n WHERE n.n_regionkey = r.r_regionkey AND n.n_nationkey = 3) OR EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = r.r_regionkey AND s.s_suppkey = 3)",
+    ),
+    'json_path_array': (
+        "SELECT JSON_VALUE('{\"a\":[{\"b\":\"x\"},{\"b\":\"y\"}]}', '$.a[1].b') AS v, JSON_QUERY('{\"a\":[1,2]}', '$.a') AS q, JSON_EXISTS('{\"a\":[1,2]}', '$.a[5]') AS e",
+        "SELECT 'y' AS v, '[1,2]' AS q, false AS e",
+    ),
     'distinct_order_hidden': (
         'SELECT DISTINCT o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 3',
         'SELECT o_orderpriority FROM (SELECT o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY 1) ORDER BY k LIMIT 3',
@@ -402,6 +448,83 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
 }
 
 
+CUSTOMERS = (
+    "CREATE TABLE c (id INT PRIMARY KEY, seg TEXT, nat INT, bal FLOAT)",
+    "INSERT INTO c SELECT c_custkey, c_mktsegment, c_nationkey, c_acctbal FROM customer",
+)
+OF_C = "SELECT c_custkey AS id, c_mktsegment AS seg, c_nationkey::BIGINT AS nat, c_acctbal AS bal FROM customer"
+
+#: name: (statements that change an engine of their own, a query of what they made, SQL of the oracle)
+SCRIPTS: dict[str, tuple[tuple[str, ...], str, str]] = {
+    'dml_insert_values': (
+        ("CREATE TABLE t (id INT PRIMARY KEY, name TEXT, score FLOAT DEFAULT 1.5)", "INSERT INTO t (id, name) VALUES (1, 'a'), (2, NULL)", "INSERT INTO t VALUES (3, 'c', 2)"),
+        'SELECT id, name, score FROM t',
+        "SELECT * FROM (VALUES (1::BIGINT, 'a', 1.5::DOUBLE), (2, NULL, 1.5), (3, 'c', 2.0)) t(id, name, score)",
+    ),
+    'dml_insert_select': (CUSTOMERS, 'SELECT id, seg, nat, bal FROM c', OF_C),
+    'dml_insert_select_again': (
+        (*CUSTOMERS, "INSERT INTO c (id, seg) SELECT id + 1000000, CONCAT(seg, '2') FROM c WHERE nat < 5"),
+        'SELECT id, seg, nat, bal FROM c',
+        f"WITH c AS ({OF_C}) SELECT * FROM c UNION ALL SELECT id + 1000000, seg || '2', NULL, NULL FROM c WHERE nat < 5",
+    ),
+    'dml_update': (
+        (*CUSTOMERS, "UPDATE c SET bal = bal * 2, seg = LOWER(seg) WHERE seg = 'BUILDING' AND nat > 3"),
+        'SELECT id, seg, nat, bal FROM c',
+        f"WITH c AS ({OF_C}) SELECT id, CASE WHEN seg = 'BUILDING' AND nat > 3 THEN lower(seg) ELSE seg END AS seg, nat, CASE WHEN seg = 'BUILDING' AND nat > 3 THEN bal * 2 ELSE bal END AS bal FROM c",
+    ),
+    'dml_update_order_limit': (
+        (*CUSTOMERS, "UPDATE c SET nat = -1 WHERE seg = 'MACHINERY' ORDER BY bal DESC, id LIMIT 7"),
+        'SELECT id, nat FROM c',
+        f"WITH c AS ({OF_C}), m AS (SELECT id FROM c WHERE seg = 'MACHINERY' ORDER BY bal DESC, id LIMIT 7) SELECT id, CASE WHEN id IN (FROM m) THEN -1 ELSE nat END AS nat FROM c",
+    ),
+    'dml_delete': ((*CUSTOMERS, "DELETE FROM c WHERE bal < 0 OR nat IN (1, 2)"), 'SELECT id FROM c', f"WITH c AS ({OF_C}) SELECT id FROM c WHERE NOT (bal < 0 OR nat IN (1, 2))"),
+    'dml_delete_order_limit': ((*CUSTOMERS, "DELETE FROM c WHERE nat = 4 ORDER BY id DESC LIMIT 3"), 'SELECT id FROM c', f"WITH c AS ({OF_C}) SELECT id FROM c WHERE id NOT IN (SELECT id FROM c WHERE nat = 4 ORDER BY id DESC LIMIT 3)"),
+    'ddl_alter_add': ((*CUSTOMERS, "ALTER TABLE c ADD COLUMN note TEXT DEFAULT 'new'", "INSERT INTO c (id) VALUES (-1)"), 'SELECT id, note FROM c', f"WITH c AS ({OF_C}) SELECT id, 'new' AS note FROM c UNION ALL SELECT -1, 'new'"),
+    'ddl_alter_drop': ((*CUSTOMERS, "ALTER TABLE c DROP COLUMN seg"), 'SELECT * FROM c', f"WITH c AS ({OF_C}) SELECT id, nat, bal FROM c"),
+    'ddl_truncate': ((*CUSTOMERS, "TRUNCATE TABLE c", "INSERT INTO c (id) VALUES (5)"), 'SELECT id, seg FROM c', "SELECT 5::BIGINT AS id, NULL::VARCHAR AS seg"),
+    'ddl_drop_and_create': ((*CUSTOMERS, "DROP TABLE c", "CREATE TABLE c (a INT, b TEXT)", "INSERT INTO c SELECT r_regionkey, r_name FROM region"), 'SELECT a, b FROM c', "SELECT r_regionkey::BIGINT AS a, r_name AS b FROM region"),
+    'ddl_unique_index': (
+        ("CREATE TABLE n (id INT, name TEXT UNIQUE)", "INSERT INTO n SELECT n_nationkey, n_name FROM nation", "CREATE UNIQUE INDEX u ON n (id)", "CREATE INDEX b ON n (name)", "DROP INDEX b"),
+        "SELECT id, name FROM n WHERE id IN (3, 4) OR name LIKE 'A%'",
+        "SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation WHERE n_nationkey IN (3, 4) OR n_name LIKE 'A%'",
+    ),
+    'ddl_databases': (
+        ("CREATE DATABASE d", "USE d", "CREATE TABLE t (k INT, v TEXT)", "INSERT INTO t VALUES (1, 'one'), (3, 'three')"),
+        'SELECT r.r_name, t.v FROM default.region r JOIN t ON r.r_regionkey = t.k',
+        "SELECT r_name, CASE r_regionkey WHEN 1 THEN 'one' ELSE 'three' END AS v FROM region WHERE r_regionkey IN (1, 3)",
+    ),
+    'ddl_show_tables': (("CREATE DATABASE d", "USE d", "CREATE TABLE b (k INT)", "CREATE TABLE a (k INT)"), 'SHOW TABLES', "SELECT unnest(['a', 'b']) AS \"table\""),
+    'ddl_show_databases': (("CREATE DATABASE d", "CREATE DATABASE e", "DROP DATABASE d"), 'SHOW DATABASES', "SELECT unnest(['default', 'e']) AS database"),
+    'pk_lookup': (CUSTOMERS, 'SELECT id, seg FROM c WHERE id = 17', f"WITH c AS ({OF_C}) SELECT id, seg FROM c WHERE id = 17"),
+    'jsonb_column': (
+        ("CREATE TABLE e (id INT, props JSONB)", "INSERT INTO e SELECT event_id, props FROM events", "CREATE INDEX g ON e (props) USING GIN"),
+        "SELECT id, JSON_VALUE(props, '$.k') AS k FROM e WHERE CAST(JSON_VALUE(props, '$.k') AS INT) < 50",
+        "SELECT event_id AS id, json_extract_string(props, '$.k') AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) < 50",
+    ),
+    'json_column': (
+        ("CREATE TABLE e (id INT, props JSON)", "INSERT INTO e SELECT event_id, props FROM events"),
+        "SELECT id, JSON_EXISTS(props, '$.k') AS k, props IS JSON AS j FROM e",
+        "SELECT event_id AS id, json_exists(props, '$.k') AS k, true AS j FROM events",
+    ),
+    'explain_access': (
+        (*CUSTOMERS, "CREATE INDEX by_nat ON c (nat)"),
+        "EXPLAIN SELECT c.id FROM c JOIN nation n ON c.nat = n.n_nationkey WHERE c.id IN (SELECT id FROM c WHERE nat = 3 UNION SELECT id FROM c WHERE id = 9)",
+        """SELECT * FROM (VALUES (1, 'SELECT', 'c', 'full scan', 'PRIMARY, by_nat', '', 'Using where'), (2, 'INNER JOIN', 'nation', 'full scan', '', '', 'Using join condition; Using hash join'),
+        (3, 'SELECT', 'c', 'ref', 'PRIMARY, by_nat', 'by_nat', ''), (4, 'UNION', '', '', '', '', ''), (5, 'SELECT', 'c', 'const', 'PRIMARY, by_nat', 'PRIMARY', '')) t(id, operation, "table", "type", possible_keys, "key", extra)""",
+    ),
+    'explain_derived': (
+        (),
+        "EXPLAIN SELECT t.k FROM (SELECT o_custkey AS k FROM orders GROUP BY o_custkey) t ORDER BY t.k LIMIT 3",
+        """SELECT * FROM (VALUES (1, 'SELECT', '<subquery>', 'subquery', '', '', 'FROM subquery; Using filesort; Using limit'), (2, 'DERIVED', 'orders', 'full scan', '', '', 'Using group by')) t(id, operation, "table", "type", possible_keys, "key", extra)""",
+    ),
+    'stmt_log_replay': (
+        (*CUSTOMERS, "DELETE FROM c WHERE nat > 2", "UPDATE c SET seg = NULL WHERE nat = 1"),
+        'SELECT id, seg FROM c',
+        f"WITH c AS ({OF_C}) SELECT id, CASE WHEN nat = 1 THEN NULL ELSE seg END AS seg FROM c WHERE nat <= 2",
+    ),
+}
+
+
 def engine_for(spark, sf_dir: str) -> Engine:
     """The shared tables, one of them again under an index that makes @@ match parts of words."""
     engine = register_folder(Engine(spark), sf_dir, TABLES)
@@ -415,5 +538,29 @@ def _query(text: str):
     return lambda spark, sf_dir: engine_for(spark, sf_dir).sql(text)
 
 
-QUERIES = {name: _query(text) for name, (text, _) in STATEMENTS.items()}
-SQL = {name: other or text for name, (text, other) in STATEMENTS.items()}
+def run_script(spark, sf_dir: str, name: str):
+    """The result of a script's query. What was logged is replayed in a second engine, where the script says so."""
+    statements, query, _ = SCRIPTS[name]
+    if name == "stmt_log_replay":
+        with tempfile.TemporaryDirectory() as folder:
+            first = engine_for(spark, sf_dir)
+            first.log = StatementLog(f"{folder}/log")
+            for text in statements:
+                first.sql(text)
+            engine = engine_for(spark, sf_dir)
+            engine.log = first.log
+            engine.replay()
+    else:
+        engine = engine_for(spark, sf_dir)
+        for text in statements:
+            engine.sql(text)
+    out = engine.sql(query)
+    return out.drop("plan") if query.startswith("EXPLAIN") else out
+
+
+def _script(name: str):
+    return lambda spark, sf_dir: run_script(spark, sf_dir, name)
+
+
+QUERIES = {name: _query(text) for name, (text, _) in STATEMENTS.items()} | {name: _script(name) for name in SCRIPTS}
+SQL = {name: other or text for name, (text, other) in STATEMENTS.items()} | {name: sql for name, (_, _, sql) in SCRIPTS.items()}

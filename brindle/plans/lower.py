@@ -22,12 +22,23 @@ from ..functions import scalar as S
 
 RANKS = ("ROW_NUMBER", "RANK", "DENSE_RANK")
 MAX_DEPTH = 1000
+COMPACT = 16  # steps of a recursion that are kept apart
 
 
 class SQLError(ValueError):
     pass
 
 
+class UnknownColumn(SQLError):
+    pass
+
+
+def widest(kinds: list[str]) -> str:
+    """The type of a value that is one of several: FLOAT if any number of them is."""
+    known = [k for k in kinds if k != "NULL"]
+    return "FLOAT" if "FLOAT" in known and set(known) <= {"INT", "FLOAT"} else next(iter(known), "NULL")
+
+
 @dataclass(frozen=True)
 class Raw:
     """Text that is lowered already."""
@@ -93,9 +104,12 @@ def has_aggregate(node: Any) -> bool:
 class Lowering:
     """Lowers one statement. ``tables`` resolves (database, name) to (view, {column: tokenizer})."""
 
-    def __init__(self, spark, tables):
+    def __init__(self, spark, tables, checkpoints=lambda: None):
         self.spark, self.tables = spark, tables
+        self.checkpoints = checkpoints  # the folder for steps of a recursion, if the session has none
         self.views: list[str] = []
+        self.kinds: dict[int, list[str]] = {}  # types of the output columns, by id() of a lowered query
+        self.held: list[Any] = []  # these queries, so that an id stays theirs
 
     def view(self, df: DataFrame) -> str:
         name = f"brindle_{uuid.uuid4().hex}"
@@ -137,26 +151,31 @@ class Lowering:
             inner = ", ".join(f"c{i}" for i in range(len(names)))
             text = f"WITH RECURSIVE {self_name}({cols}) AS (SELECT {cols} FROM {start} UNION ALL SELECT {casts} FROM ({step}) AS t({inner})) SELECT {cols} FROM {self_name}"
             return self.view(self.spark.sql(text))
+        if self.spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            self.spark.sparkContext.setCheckpointDir(self.checkpoints())
         kept = delta = anchor.distinct().checkpoint()
-        for _ in range(MAX_DEPTH):
+        for round_ in range(MAX_DEPTH):
             step = self.frame(body.right, ctes | {name.lower(): self.view(delta)}).toDF(*names)
             step = step.select(*[step[c].cast(f.dataType).alias(c) for c, f in zip(names, anchor.schema, strict=True)])
-            delta = step.distinct().exceptAll(kept).checkpoint()
+            delta = step.subtract(kept).checkpoint()  # an anti-join with what is known
             if delta.isEmpty():
                 return self.view(kept)
             kept = kept.unionAll(delta)
+            if round_ % COMPACT == COMPACT - 1:
+                kept = kept.checkpoint()  # one table again
         raise SQLError(f"recursive {name} exceeded maximum depth {MAX_DEPTH}")
 
     def set_op(self, q: A.SetOp, ctes: dict[str, Any], outer: Scope | None) -> str:
         left, right = self.query(q.left, ctes, outer), self.query(q.right, ctes, outer)
-        if outer is None:
-            a, b = self.spark.sql(left).schema, self.spark.sql(right).schema
-            if len(a) != len(b):
-                raise SQLError(f"{q.op} of {len(a)} and {len(b)} columns")
-            for x, y in zip(a, b, strict=True):
-                k = {kind_of(x), kind_of(y)} - {"NULL", ""}
-                if len(k - {"JSON"} if "TEXT" in k else k) > 1:
-                    raise SQLError(f"{q.op} of {kind_of(x)} and {kind_of(y)} in {x.name}")
+        a, b = self.kinds[id(q.left)], self.kinds[id(q.right)]
+        if len(a) != len(b):
+            raise SQLError(f"{q.op} of {len(a)} and {len(b)} columns")
+        for x, y in zip(a, b, strict=True):
+            k = {x, y} - {"NULL", ""}
+            if len(k - {"JSON"} if "TEXT" in k else k) > 1:
+                raise SQLError(f"{q.op} of {x} and {y}")
+        self.kinds[id(q)] = [x if x not in ("NULL", "") else y for x, y in zip(a, b, strict=True)]
+        self.held.append(q)
         text = f"({left}) {q.op}{' ALL' if q.all else ''} ({right})"
         order = []
         for o in q.order:
@@ -230,6 +249,8 @@ class Lowering:
         for o in q.order:
             e = self.by_alias(o.expr, items) if self.is_alias(o.expr, items, scope) else o.expr
             order.append((self.value(e, inner), o.desc))
+        self.kinds[id(q)] = [self.kind(i.expr, inner) for i in items]
+        self.held.append(q)
         listed = ", ".join(f"{e} AS {tick(n)}" for e, n in columns)
         shown = {e for e, _ in columns}
         if q.distinct and any(e not in shown for e, _ in order):
@@ -283,7 +304,7 @@ class Lowering:
                 s, n, k = found[0]
                 return f"{tick(s.alias)}.{tick(n)}", k, s, own
             at, own = at.outer, False
-        raise SQLError(f"unknown column {(c.table + '.') if c.table else ''}{c.name}")
+        raise UnknownColumn(f"unknown column {(c.table + '.') if c.table else ''}{c.name}")
 
     def label(self, e) -> str:
         if isinstance(e, A.Column):
@@ -318,8 +339,7 @@ class Lowering:
         if isinstance(e, A.Cast):
             return e.type
         if isinstance(e, A.Case):
-            kinds = [self.kind(x, scope) for x in [*[t for _, t in e.whens], *([e.otherwise] if e.otherwise is not None else [])]]
-            return next((k for k in kinds if k != "NULL"), "NULL")
+            return widest([self.kind(x, scope) for x in [*[t for _, t in e.whens], *([e.otherwise] if e.otherwise is not None else [])]])
         if isinstance(e, A.Call):
             if e.name in ("COUNT", *RANKS):
                 return "INT"
@@ -329,12 +349,12 @@ class Lowering:
                 return S.SIGNATURES[e.name][2]
             if e.name in ("SUM", "MIN", "MAX") or e.name in S.SIGNATURES:
                 kinds = [self.kind(a, scope) for a in e.args if not isinstance(a, A.Star)]
-                if e.name == "MOD" and "FLOAT" in kinds:
-                    return "FLOAT"
-                return next((k for k in kinds if k != "NULL"), "NULL")
+                return widest(kinds[:1] if e.name in ("NULLIF", "ROUND") else kinds)
             return ""
         if isinstance(e, A.Subquery):
-            return ""
+            if id(e.query) not in self.kinds:
+                self.query(e.query, scope.ctes or {}, scope)
+            return self.kinds[id(e.query)][0]
         return "BOOL"
 
     # -- expressions -------------------------------------------------------------------------
@@ -391,7 +411,11 @@ class Lowering:
             other = f" ELSE {self.value(e.otherwise, scope)}" if e.otherwise is not None else ""
             return f"(CASE {text}{other} END)" if text else self.value(e.otherwise if e.otherwise is not None else A.Literal(None), scope)
         if isinstance(e, A.Cast):
-            return S.cast(self.value(e.arg, scope), self.kind(e.arg, scope), e.type)
+            text = S.cast(self.value(e.arg, scope), self.kind(e.arg, scope), e.type)
+            a = e.arg
+            if e.type in ("INT", "FLOAT") and isinstance(a, A.Call) and a.name == "JSON_VALUE":
+                return J.json_value_as(self.value(a.args[0], scope), self.kind(a.args[0], scope), a.args[1].value, e.type, text)
+            return text
         if isinstance(e, A.Call):
             return self.call(e, scope)
         if isinstance(e, A.Subquery):
@@ -448,6 +472,10 @@ class Lowering:
             if self.kind(e.left, scope) not in ("TEXT", "JSON", ""):
                 raise SQLError("@@ takes text")
             return S.match(self.value(e.left, scope), self.value(e.right, scope), tokenizer)
+        if e.op == "/":
+            spread = self.by_branch(e, scope)
+            if spread is not None:
+                return self.value(spread, scope)
         if e.op in ("+", "-", "*", "/"):
             a, b = self.value(e.left, scope), self.value(e.right, scope)
             if self.kind(e, scope) == "INT":
@@ -456,6 +484,18 @@ class Lowering:
         text = self.compare(e.op, e.left, e.right, scope)
         return text if raw else f"coalesce({text}, false)"
 
+    def by_branch(self, e: A.Binary, scope: Scope):
+        """A division one side of which is INT in some cases and FLOAT in others, as a CASE of divisions: each is of
+        integers if both its sides are."""
+        for side, other in (("left", "right"), ("right", "left")):
+            x = getattr(e, side)
+            if isinstance(x, A.Call) and x.name == "COALESCE":
+                x = A.Case(None, tuple((A.IsTest(a, "NULL", True), a) for a in x.args[:-1]), x.args[-1])
+            if isinstance(x, A.Case) and {"INT", "FLOAT"} <= {self.kind(b, scope) for b in [*[t for _, t in x.whens], *([x.otherwise] if x.otherwise is not None else [])]}:
+                divided = lambda b: replace(e, **{side: b, other: getattr(e, other)})  # noqa: B023,E731
+                return replace(x, whens=tuple((w, divided(t)) for w, t in x.whens), otherwise=None if x.otherwise is None else divided(x.otherwise))
+        return None
+
     def in_list(self, e: A.InList, scope: Scope, raw: bool) -> str:
         a = self.value(e.arg, scope)
         items = [i for i in e.items if not (isinstance(i, A.Literal) and i.value is None)]
@@ -475,10 +515,13 @@ class Lowering:
             inner = replace(q, items=(A.SelectItem(A.Literal(1)),), where=same if q.where is None else A.Binary("AND", q.where, same), order=())
             text = f"EXISTS ({self.query(inner, scope.ctes or {}, scope)})"
         else:
-            df = self.spark.sql(self.query(q, scope.ctes or {}, None))
-            name = df.columns[0]
             t = f"q_{uuid.uuid4().hex[:8]}"
-            text = f"EXISTS (SELECT 1 FROM {self.view(df)} AS {t} WHERE {t}.{tick(name)} = {a})"
+            try:
+                df = self.spark.sql(self.query(q, scope.ctes or {}, None))
+                rows, name = self.view(df), df.columns[0]
+            except UnknownColumn:  # it may be one of the outer query's
+                rows, name = f"(SELECT * FROM ({self.query(q, scope.ctes or {}, scope)}) AS {t}_({t}_c))", f"{t}_c"
+            text = f"EXISTS (SELECT 1 FROM {rows} AS {t} WHERE {t}.{tick(name)} = {a})"
         return f"({a} IS NOT NULL AND NOT {text})" if e.negated else text
 
     def call(self, e: A.Call, scope: Scope) -> str:

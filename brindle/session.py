@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog.catalog import ROWID, SPARK_TYPES, Catalog, Index, Table
@@ -26,11 +26,7 @@ class Engine:
     def __init__(self, spark: SparkSession, warehouse: str | None = None, log: str | None = None):
         self.spark = spark
         spark.conf.set("spark.sql.cteRecursionLevelLimit", "1000")
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            self.catalog = Catalog(spark, warehouse)
-            spark.sparkContext.setCheckpointDir(self.catalog.root)
-        else:
-            self.catalog = Catalog(spark, warehouse)
+        self.catalog = Catalog(spark, warehouse)
         self.log = StatementLog(log) if log else None
 
     @property
@@ -59,8 +55,11 @@ class Engine:
         if isinstance(statement, (A.Select, A.SetOp)):
             return self.lowered(lambda low: low.frame(statement))
         if isinstance(statement, A.Explain):
-            rows = steps(statement.statement, self.find)
-            return self.spark.createDataFrame(rows, COLUMNS)
+            rows, inner = steps(statement.statement, self.find), statement.statement
+            plan = ""
+            if isinstance(inner, (A.Select, A.SetOp)):
+                plan = self.run(inner)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            return self.spark.createDataFrame([(*r, plan if not i else "") for i, r in enumerate(rows)], COLUMNS)
         handler = {
             A.Insert: self.insert, A.Update: self.update, A.Delete: self.delete, A.CreateTable: self.create_table,
             A.CreateIndex: self.create_index, A.AlterTable: self.alter, A.Simple: self.simple,
@@ -75,7 +74,7 @@ class Engine:
             t = self.catalog.table(database, name)
             return t.view, t.tokenizers()
 
-        low = Lowering(self.spark, resolve)
+        low = Lowering(self.spark, resolve, lambda: self.catalog.root)
         try:
             return work(low)
         finally:
@@ -184,6 +183,7 @@ class Engine:
         t = c.table(s.database, s.name)
         if s.action == "drop table":
             del c.database(s.database)[key]
+            c.discard(t)
             return self.message("table dropped")
         c.publish(t, c.rows(t).limit(0))
         return self.message("table truncated")
@@ -259,17 +259,18 @@ class Engine:
     def update(self, s: A.Update) -> DataFrame:
         t = self.managed(s.table)
 
-        def build(low: Lowering) -> tuple[DataFrame, int]:
+        changed = Observation()
+
+        def build(low: Lowering) -> DataFrame:
             scope, match = self.chosen(low, t, s)
             sets = {t.column(n).name: self.fit(low, e, t.column(n), scope) for n, e in s.sets}
             marked = self.spark.sql(f"SELECT *, ({match}) AS __match FROM {t.view} AS {tick(t.name)}") if s.limit is None else self.mark(low, t, match)
-            view = low.view(marked)
+            view = low.view(marked.observe(changed, F.count_if("__match").alias("n")))
             cols = [f"CASE WHEN __match THEN {sets[c.name]} ELSE {tick(c.name)} END AS {tick(c.name)}" if c.name in sets else tick(c.name) for c in t.columns]
-            return self.spark.sql(f"SELECT {', '.join(cols)}, {ROWID} FROM {view} AS {tick(t.name)}"), marked.where("__match").count()
+            return self.spark.sql(f"SELECT {', '.join(cols)}, {ROWID} FROM {view} AS {tick(t.name)}")
 
-        new, n = self.lowered(build)
-        self.catalog.publish(t, new)
-        return self.message(f"{n} rows updated")
+        self.catalog.publish(t, self.lowered(build))
+        return self.message(f"{changed.get['n']} rows updated")
 
     def mark(self, low: Lowering, t: Table, match: str) -> DataFrame:
         ids = self.spark.sql(f"SELECT {ROWID} AS __id FROM {t.view} WHERE {match}")
@@ -279,15 +280,16 @@ class Engine:
     def delete(self, s: A.Delete) -> DataFrame:
         t = self.managed(s.table)
 
-        def build(low: Lowering) -> tuple[DataFrame, int]:
+        changed = Observation()
+
+        def build(low: Lowering) -> DataFrame:
             _, match = self.chosen(low, t, s)
             marked = self.spark.sql(f"SELECT *, ({match}) AS __match FROM {t.view} AS {tick(t.name)}") if s.limit is None else self.mark(low, t, match)
-            return marked.where("NOT __match").drop("__match"), marked.where("__match").count()
+            return marked.observe(changed, F.count_if("__match").alias("n")).where("NOT __match").drop("__match")
 
-        new, n = self.lowered(build)
-        self.catalog.publish(t, new)
-        return self.message(f"{n} rows deleted")
+        self.catalog.publish(t, self.lowered(build))
+        return self.message(f"{changed.get['n']} rows deleted")
 
 
 def replace_table(t: Table, columns: list, keys: list) -> Table:
-    return Table(t.name, t.view, columns, True, keys, t.primary, dict(t.indexes), t.version)
+    return Table(t.name, t.view, columns, True, keys, t.primary, dict(t.indexes), t.version, paths=t.paths)

@@ -25,10 +25,10 @@ def rows(columns, found):
     return sorted((tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in found), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.STATEMENTS))
-def test_statement(both, name):
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+def test_statement(spark, both, name):
     engine, c = both
-    df = engine.sql(catalogue.STATEMENTS[name][0])
+    df = engine.sql(catalogue.STATEMENTS[name][0]) if name in catalogue.STATEMENTS else catalogue.run_script(spark, FOLDER, name)
     want = c.sql(catalogue.SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())

@@ -73,7 +73,7 @@ def test_recursion_windows_and_full_text(e):
     e.sql("CREATE INDEX g ON users (name) USING GIN WITH (tokenizer='bigram')")
     assert values(e.sql("SELECT id FROM users WHERE name @@ 'LIC'")) == [(1,)]
     row = values(e.sql("EXPLAIN SELECT id FROM users WHERE id = 1"))[0]
-    assert row[3:6] == ("const", "PRIMARY", "PRIMARY")
+    assert row[3:6] == ("const", "PRIMARY, g", "PRIMARY")
 
 
 def test_joins_and_names(e):
@@ -115,3 +115,72 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(values(spark.table("counts"))) == [(0, 3), (1, 3), (2, 3)]
+
+
+def test_numbers(e):
+    """Plain digits whatever the size, types of the branch that is taken, division by branch."""
+    got = e.sql("SELECT CAST(12345678.5 AS TEXT) AS a, CAST(0.00001 AS TEXT) AS b, CAST(1234567890123456789012.0 AS TEXT) AS c, CAST(-0.000000125 AS TEXT) AS d, CAST(0.1 AS TEXT) AS f, CAST(-25000000.0 AS TEXT) AS g")
+    assert values(got) == [("12345678.5", "0.00001", "1234567890123456800000", "-0.000000125", "0.1", "-25000000")]
+    assert values(e.sql("SELECT CASE WHEN 1 = 2 THEN 1 ELSE 2.5 END / 2 AS a, CASE WHEN 1 = 1 THEN 1 ELSE 2.5 END / 2 AS b, COALESCE(NULL, 5) / 2 AS c, 5 / CASE WHEN 1 = 1 THEN 2 ELSE 0.5 END AS d")) == [(1.25, 0.0, 2, 2.0)]
+    assert values(e.sql("SELECT (SELECT COUNT(*) FROM users) / 2 AS a, (SELECT AVG(id) FROM users) / 4 AS b, (SELECT MAX(id) FROM users UNION SELECT 3) / 2 AS c")) == [(1, 0.5, 1)]
+    with pytest.raises(SQLError):
+        e.sql("SELECT id FROM users WHERE id IN (SELECT id FROM users UNION SELECT name FROM users)")
+
+
+def test_correlated_in(e):
+    e.sql("CREATE TABLE buys (buyer INT, item INT)")
+    e.sql("INSERT INTO buys VALUES (1, 1), (1, 5), (2, 3), (3, 3), (3, 3)")
+    for inner in ("SELECT item FROM buys WHERE buyer = users.id GROUP BY item", "SELECT DISTINCT item FROM buys WHERE buyer = users.id", "SELECT item FROM buys WHERE buyer = users.id UNION SELECT item FROM buys WHERE buyer = users.id + 10"):
+        assert values(e.sql(f"SELECT id FROM users WHERE id IN ({inner}) ORDER BY id")) == [(1,), (3,)]
+        assert values(e.sql(f"SELECT id FROM users WHERE id NOT IN ({inner}) ORDER BY id")) == [(2,)]
+    with pytest.raises(SQLError):
+        e.sql("SELECT id FROM users WHERE id IN (SELECT nothing FROM buys GROUP BY nothing)")
+
+
+def test_json_numbers_and_word_match(e):
+    assert values(e.sql("""SELECT CAST(JSON_VALUE('{"a":"12"}', '$.a') AS INT) AS a, CAST(JSON_VALUE('{"a":1e3}', '$.a') AS INT) AS b, CAST(JSON_VALUE('{"a":{}}', '$.a') AS INT) AS c, CAST(JSON_VALUE('{"a":2.50}', '$.a') AS FLOAT) AS d""")) == [(12, 1000, None, 2.5)]
+    with pytest.raises(Exception):
+        e.sql("""SELECT CAST(JSON_VALUE('{"a":"x"}', '$.a') AS INT) AS a""").collect()
+    got = e.sql("SELECT 'The cat, sat' @@ 'CAT' AS a, 'concatenate' @@ 'cat' AS b, 'cat' @@ 'cat' AS c, 'a.b' @@ 'a.b' AS d, 'über cat' @@ 'ÜBER' AS f, 'x' @@ 'caterpillar' AS g, 'scat cat' @@ 'cat' AS h")
+    assert values(got) == [(True, False, True, False, True, False, True)]
+
+
+def test_explain_rows(e):
+    e.sql("CREATE INDEX by_age ON users (age)")
+    rows = values(e.sql("EXPLAIN SELECT name FROM users WHERE age > 3 OR id = 1"))
+    assert rows[0][:7] == (1, "SELECT", "users", "index merge", "PRIMARY, by_age", "by_age, PRIMARY", "") and "Scan parquet" in rows[0][7]
+    assert [r[1:4] for r in values(e.sql("EXPLAIN WITH t AS (SELECT id FROM users) SELECT id FROM t WHERE EXISTS (SELECT 1 FROM users u WHERE u.id = t.id)"))] == [("CTE", "t", ""), ("SELECT", "users", "full scan"), ("SELECT", "t", "full scan"), ("SUBQUERY", "users", "full scan")]
+    assert [r[1:7] for r in values(e.sql("EXPLAIN UPDATE users SET age = 1 WHERE id = 2"))] == [("UPDATE", "users", "const", "PRIMARY, by_age", "PRIMARY", "")]
+    assert values(e.sql("EXPLAIN INSERT INTO users (id) VALUES (7), (8)"))[0][1:7] == ("INSERT", "users", "", "", "", "2 row(s)")
+
+
+def test_versions_are_removed(spark, e, tmp_path):
+    for i in range(8):
+        e.sql(f"INSERT INTO users (id) VALUES ({100 + i})")
+    left = [p for p in (tmp_path / "tables").glob("brindle-users-*/v*") if p.is_dir()]
+    assert len(left) <= 3 and values(e.sql("SELECT COUNT(*) AS n FROM users")) == [(11,)]
+    e.sql("DROP TABLE users")
+    assert not [p for p in (tmp_path / "tables").glob("brindle-users-*/v*") if p.is_dir()]
+
+
+def test_long_recursion(e):
+    assert values(e.sql("WITH RECURSIVE s AS (SELECT 1 AS n UNION SELECT n + 1 FROM s WHERE n < 40) SELECT COUNT(*) AS c, MAX(n) AS m FROM s")) == [(40, 40)]
+
+
+def test_prompt(e):
+    from brindle.cli import show, shown
+
+    assert [shown(x) for x in (20.0, 1e21, 1e-7, -2.5, 3, None, True, "x")] == ["20.0", "1000000000000000000000.0", "0.0000001", "-2.5", "3", "<nil>", "true", "x"]
+    assert show(e.sql("SELECT id, name FROM users WHERE id < 3 ORDER BY id")) == "id\tname\n" + "-" * 15 + "\n1\talice\n2\t<nil>\n(2 rows)"
+    assert show(e.sql("DELETE FROM users WHERE id = 3")) == "1 rows deleted"
+
+
+def test_other_formats(spark, tmp_path):
+    """Any format that Spark reads is a table."""
+    from brindle.sources.files import register_folder
+
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.json(f"{tmp_path}/t.json")
+    spark.createDataFrame([(2, 0.5)], "k int, w double").write.option("header", True).csv(f"{tmp_path}/u.csv")
+    engine = register_folder(Engine(spark), str(tmp_path), ["t"], "json")
+    register_folder(engine, str(tmp_path), ["u"], "csv", header="true", inferSchema="true")
+    assert values(engine.sql("SELECT t.v, u.w FROM t JOIN u ON t.k = u.k")) == [("b", 0.5)]
