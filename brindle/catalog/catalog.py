@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..dialect import ast as A
 from ..plans.lower import SQLError
+from .postings import build
 
 SPARK_TYPES = {"INT": T.LongType(), "FLOAT": T.DoubleType(), "TEXT": T.StringType(), "JSON": T.StringType(), "JSONB": T.VariantType()}
 ROWID = "__rowid"
@@ -29,6 +30,7 @@ class Index:
     unique: bool
     method: str
     tokenizer: str | None
+    view: str | None = None  # the posting table of a GIN index
 
 
 @dataclass
@@ -53,6 +55,10 @@ class Table:
     def tokenizers(self) -> dict[str, str]:
         return {i.columns[0].lower(): i.tokenizer or "word" for i in self.indexes.values() if i.method == "GIN"}
 
+    def postings(self) -> dict[str, tuple[str, str]]:
+        """(tokenizer, view of the posting table) by column."""
+        return {i.columns[0].lower(): (i.tokenizer or "word", i.view) for i in self.indexes.values() if i.view}
+
     def schema(self) -> T.StructType:
         fields = [T.StructField(c.name, SPARK_TYPES[c.type], True, {"dialect_type": c.type} if c.type == "JSON" else {}) for c in self.columns]
         return T.StructType([*fields, T.StructField(ROWID, T.LongType(), True)])
@@ -80,8 +86,8 @@ class Catalog:
         """Remove a table's versions but the newest ``keep``."""
         old = max(0, len(table.paths) - keep)
         for path in table.paths[:old]:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path).getParent()  # of this version and its postings alone
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
         del table.paths[:old]
 
     def database(self, name: str | None) -> dict[str, Table]:
@@ -134,11 +140,24 @@ class Catalog:
         except SQLError:
             self.discard(Table(table.name, table.view, paths=[path]))
             raise
+        built = {name: build(self.spark, df, i.columns[0], i.tokenizer or "word", ROWID, f"{path}-{name}") for name, i in table.indexes.items() if i.method == "GIN"}
         df.createOrReplaceTempView(table.view)
+        for name, postings in built.items():
+            self.show(table.indexes[name], postings)
         table.version += 1
         table.paths.append(path)
         self.discard(table, KEPT_VERSIONS)
 
+    def show(self, index: Index, postings: DataFrame) -> None:
+        index.view = index.view or f"brindle_p_{uuid.uuid4().hex}"
+        postings.createOrReplaceTempView(index.view)
+
+    def add_index(self, table: Table, index: Index) -> None:
+        """Put an index on a table; a GIN index of a managed one gets its posting table."""
+        if table.managed and index.method == "GIN":
+            self.show(index, build(self.spark, self.rows(table), index.columns[0], index.tokenizer or "word", ROWID, f"{table.paths[-1]}-{index.name}"))
+        table.indexes[index.name] = index
+
     def check(self, table: Table, df: DataFrame) -> None:
         for c in table.columns:
             if c.not_null and not df.where(F.col(f"`{c.name}`").isNull()).isEmpty():

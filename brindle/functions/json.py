@@ -55,11 +55,11 @@ def at_path(text: str, kind: str, path: str) -> str:
 
 def scalar_text(v: str) -> str:
     """A scalar as text, numbers without a needless .0; objects, arrays and null are NULL."""
-    kind, number = f"schema_of_variant({v})", f"variant_get({v}, '$', 'double')"
+    kind, number = f"schema_of_variant({v})", f"try_variant_get({v}, '$', 'double')"
     return (
         f"(CASE WHEN {v} IS NULL OR is_variant_null({v}) OR {kind} RLIKE '^(OBJECT|ARRAY)' THEN NULL"
         f" WHEN {kind} = 'DOUBLE' AND {number} = floor({number}) THEN CAST(CAST({number} AS BIGINT) AS STRING)"
-        f" ELSE variant_get({v}, '$', 'string') END)"
+        f" ELSE try_variant_get({v}, '$', 'string') END)"
     )
 
 

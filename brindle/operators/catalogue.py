@@ -454,6 +454,12 @@ CUSTOMERS = (
 )
 OF_C = "SELECT c_custkey AS id, c_mktsegment AS seg, c_nationkey::BIGINT AS nat, c_acctbal AS bal FROM customer"
 
+ARTICLES = ("CREATE TABLE a (id INT PRIMARY KEY, body TEXT)", "INSERT INTO a SELECT doc_id, text FROM documents")
+WORD_INDEX = (*ARTICLES, "CREATE INDEX g ON a (body) USING GIN")
+PAIR_INDEX = (*ARTICLES, "CREATE INDEX g ON a (body) USING GIN WITH (tokenizer = 'bigram')")
+PATH_INDEX = ("CREATE TABLE e (id INT, props JSONB)", "INSERT INTO e SELECT event_id, props FROM events", "CREATE INDEX g ON e (props) USING GIN")
+HAS_WORD = "list_contains(regexp_split_to_array(lower(text), '[^a-z0-9\\x{80}-\\x{10FFFF}]+'), '%s')"
+
 #: name: (statements that change an engine of their own, a query of what they made, SQL of the oracle)
 SCRIPTS: dict[str, tuple[tuple[str, ...], str, str]] = {
     'dml_insert_values': (
@@ -496,8 +502,27 @@ SCRIPTS: dict[str, tuple[tuple[str, ...], str, str]] = {
     'ddl_show_tables': (("CREATE DATABASE d", "USE d", "CREATE TABLE b (k INT)", "CREATE TABLE a (k INT)"), 'SHOW TABLES', "SELECT unnest(['a', 'b']) AS \"table\""),
     'ddl_show_databases': (("CREATE DATABASE d", "CREATE DATABASE e", "DROP DATABASE d"), 'SHOW DATABASES', "SELECT unnest(['default', 'e']) AS database"),
     'pk_lookup': (CUSTOMERS, 'SELECT id, seg FROM c WHERE id = 17', f"WITH c AS ({OF_C}) SELECT id, seg FROM c WHERE id = 17"),
+    'gin_word_match': (WORD_INDEX, "SELECT id FROM a WHERE body @@ 'the'", f"SELECT doc_id AS id FROM documents WHERE {HAS_WORD % 'the'}"),
+    'gin_word_and_or': (
+        WORD_INDEX,
+        "SELECT id FROM a WHERE (body @@ 'License' OR body @@ 'email') AND id > 100",
+        f"SELECT doc_id AS id FROM documents WHERE ({HAS_WORD % 'license'} OR {HAS_WORD % 'email'}) AND doc_id > 100",
+    ),
+    'gin_kept_by_changes': (
+        (*WORD_INDEX, "DELETE FROM a WHERE id < 50", "INSERT INTO a VALUES (-1, 'the end'), (-2, 'nothing')"),
+        "SELECT id FROM a WHERE body @@ 'the'",
+        f"SELECT doc_id AS id FROM documents WHERE doc_id >= 50 AND {HAS_WORD % 'the'} UNION ALL SELECT -1",
+    ),
+    'gin_bigram_match': (PAIR_INDEX, "SELECT id FROM a WHERE body @@ 'icen'", "SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'icen')"),
+    'gin_like': (PAIR_INDEX, "SELECT id FROM a WHERE body LIKE '%License%'", "SELECT doc_id AS id FROM documents WHERE text LIKE '%License%'"),
+    'gin_equal_in': (
+        (*WORD_INDEX, "INSERT INTO a VALUES (-1, 'one two'), (-2, 'two one'), (-3, 'One Two')"),
+        "SELECT id FROM a WHERE body = 'one two' OR body IN ('One Two', 'three')",
+        "SELECT unnest([-1::BIGINT, -3]) AS id",
+    ),
+    'gin_json_path': (PATH_INDEX, "SELECT id FROM e WHERE JSON_VALUE(props, '$.k') = '50' OR JSON_VALUE(props, '$.k') IN ('7', '8')", "SELECT event_id AS id FROM events WHERE json_extract_string(props, '$.k') IN ('50', '7', '8')"),
     'jsonb_column': (
-        ("CREATE TABLE e (id INT, props JSONB)", "INSERT INTO e SELECT event_id, props FROM events", "CREATE INDEX g ON e (props) USING GIN"),
+        PATH_INDEX,
         "SELECT id, JSON_VALUE(props, '$.k') AS k FROM e WHERE CAST(JSON_VALUE(props, '$.k') AS INT) < 50",
         "SELECT event_id AS id, json_extract_string(props, '$.k') AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) < 50",
     ),

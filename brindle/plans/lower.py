@@ -8,8 +8,9 @@ columns of grouped queries, and the JSON and full-text functions.
 
 from __future__ import annotations
 
+import re
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from ..dialect import ast as A
 from ..dialect.parser import AGGREGATES
 from ..functions import json as J
 from ..functions import scalar as S
+from ..functions.search import rows_with, tokens_of
 
 RANKS = ("ROW_NUMBER", "RANK", "DENSE_RANK")
 MAX_DEPTH = 1000
@@ -54,6 +56,7 @@ class Source:
     columns: list[tuple[str, str]]  # (name, type)
     tokenizers: dict[str, str]
     hidden: set[str]
+    postings: dict[str, tuple[str, str]] = field(default_factory=dict)  # (tokenizer, view) by column
 
 
 @dataclass
@@ -63,6 +66,7 @@ class Scope:
     windows: dict[str, A.WindowSpec]
     grouped: set[str] | None = None
     ctes: dict[str, Any] | None = None
+    filtering: bool = False  # inside WHERE, where a posting table may stand in
 
 
 def tick(name: str) -> str:
@@ -102,7 +106,7 @@ def has_aggregate(node: Any) -> bool:
 
 
 class Lowering:
-    """Lowers one statement. ``tables`` resolves (database, name) to (view, {column: tokenizer})."""
+    """Lowers one statement. ``tables`` resolves (database, name) to (view, {column: tokenizer}, posting tables)."""
 
     def __init__(self, spark, tables, checkpoints=lambda: None):
         self.spark, self.tables = spark, tables
@@ -192,20 +196,21 @@ class Lowering:
 
     def source(self, s, ctes: dict[str, Any], outer: Scope | None) -> Source:
         tokenizers: dict[str, str] = {}
+        postings: dict[str, tuple[str, str]] = {}
         if isinstance(s, A.TableRef):
             alias = s.alias or s.name
             found = ctes.get(s.name.lower()) if s.database is None else None
             if isinstance(found, tuple):
                 return Source(alias, found[0], found[1], {}, set())
             if found is None:
-                found, tokenizers = self.tables(s.database, s.name)
+                found, tokenizers, postings = self.tables(s.database, s.name)
         elif isinstance(s, A.JsonTable):
             e, k = self.value(s.source, Scope([], outer, {})), self.kind(s.source, Scope([], outer, {}))
             alias, found = s.alias, self.view(self.spark.sql(J.json_table(e, k, s.path, list(s.columns))))
         else:
             alias, found = s.alias, self.view(self.spark.sql(self.query(s.query, ctes, outer)))
         schema = self.spark.table(found).schema
-        return Source(alias, found, [(f.name, kind_of(f)) for f in schema if f.name != "__rowid"], tokenizers, set())
+        return Source(alias, found, [(f.name, kind_of(f)) for f in schema if f.name != "__rowid"], tokenizers, set(), postings)
 
     def select(self, q: A.Select, ctes: dict[str, Any], outer: Scope | None) -> str:
         scope = Scope([], outer, dict(q.windows), None, ctes)
@@ -228,7 +233,7 @@ class Lowering:
             condition = f" ON {self.truth(on, scope)}" if on is not None else ""
             text += f" {'INNER' if j.kind == 'inner' else j.kind.upper()} JOIN {right.text} AS {tick(right.alias)}{condition}"
         if q.where is not None:
-            text += f" WHERE {self.truth(q.where, scope)}"
+            text += f" WHERE {self.truth(q.where, replace(scope, filtering=True))}"
         items: list[A.SelectItem] = []
         for item in q.items:
             if isinstance(item.expr, A.Star):
@@ -363,7 +368,46 @@ class Lowering:
         """A condition in a positive position, where NULL counts as false anyway."""
         if isinstance(e, A.Binary) and e.op in ("AND", "OR"):
             return f"({self.truth(e.left, scope)} {e.op} {self.truth(e.right, scope)})"
-        return self.value(e, scope, raw=True)
+        found = self.by_posting(e, scope) if scope.filtering else None
+        return found or self.value(e, replace(scope, filtering=False), raw=True)
+
+    def by_posting(self, e, scope: Scope) -> str | None:
+        """The text of a search that a GIN index's posting table answers, alone or ahead of the search itself."""
+        arg = e.left if isinstance(e, A.Binary) and e.op in ("@@", "=") else e.arg if isinstance(e, (A.Like, A.InList)) and not e.negated else None
+        path = None
+        if isinstance(arg, A.Call) and arg.name == "JSON_VALUE" and len(arg.args) == 2 and isinstance(arg.args[1], A.Literal):
+            arg, path = arg.args[0], arg.args[1].value
+        if not isinstance(arg, A.Column):
+            return None
+        _, _, s, own = self.column(arg, scope)
+        tokenizer, view = s.postings.get(arg.name.lower(), (None, None))
+        if view is None or not own or (path is not None) != (tokenizer == "jsonb_path_ops"):
+            return None
+        given = [e.pattern] if isinstance(e, A.Like) else e.items if isinstance(e, A.InList) else [e.right]
+        if not given or not all(isinstance(x, A.Literal) and isinstance(x.value, str) for x in given):
+            return None
+        if any(not c.isascii() and c.lower() != c.upper() for x in given for c in x.value):
+            return None  # case is Spark's business beyond ASCII
+        exact = False
+        if path is not None:
+            if isinstance(e, A.Like) or not re.fullmatch(r"\$(\.[A-Za-z0-9_]+|\[[0-9]+\])+", path):
+                return None
+            ids, exact = f"SELECT id FROM {view} WHERE token IN ({', '.join(J.quote(f'{path}={x.value}') for x in given)})", True
+        else:
+            wanted = []
+            for x in given:
+                if isinstance(e, A.Like):  # what stands between wildcards is in every match
+                    runs = [] if "\\" in x.value else re.split("[%_]", x.value)
+                    found = sorted({t for r in runs for t in tokens_of(r, tokenizer)}) if tokenizer == "bigram" else []
+                else:
+                    found = tokens_of(x.value, tokenizer)
+                if not found:
+                    return None
+                wanted.append(found)
+            exact = isinstance(e, A.Binary) and e.op == "@@" and (tokenizer == "word" and wanted[0] == [given[0].value.lower()] or tokenizer == "bigram" and len(given[0].value.lower()) == 2)
+            ids = " UNION ".join(rows_with(view, w) for w in wanted)
+        test = f"{tick(s.alias)}.__rowid IN ({ids})"
+        return f"({test})" if exact else f"({test} AND {self.value(e, replace(scope, filtering=False), raw=True)})"
 
     def value(self, e, scope: Scope, raw: bool = False) -> str:
         """The text of an expression; ``raw`` lets a comparison be NULL instead of false."""
@@ -564,4 +608,4 @@ class Lowering:
 
 
 def replace_scope(scope: Scope, grouped: set[str] | None) -> Scope:
-    return Scope(scope.sources, scope.outer, scope.windows, grouped, scope.ctes)
+    return Scope(scope.sources, scope.outer, scope.windows, grouped, scope.ctes, scope.filtering)

@@ -72,7 +72,7 @@ class Engine:
     def lowered(self, work):
         def resolve(database: str | None, name: str):
             t = self.catalog.table(database, name)
-            return t.view, t.tokenizers()
+            return t.view, t.tokenizers(), t.postings()
 
         low = Lowering(self.spark, resolve, lambda: self.catalog.root)
         try:
@@ -123,7 +123,7 @@ class Engine:
             except SQLError:
                 t.keys.pop()
                 raise
-        t.indexes[s.name] = Index(s.name, s.columns, s.unique, s.method, tokenizer)
+        self.catalog.add_index(t, Index(s.name, s.columns, s.unique, s.method, tokenizer))
         return self.message("index created")
 
     def alter(self, s: A.AlterTable) -> DataFrame:
@@ -247,7 +247,7 @@ class Engine:
 
     def chosen(self, low: Lowering, t: Table, s) -> tuple[Scope, str]:
         """(scope of the table's rows, text that is true for the rows a statement changes)."""
-        source = Source(t.name, t.view, [(c.name, c.type) for c in t.columns], t.tokenizers(), set())
+        source = Source(t.name, t.view, [(c.name, c.type) for c in t.columns], t.tokenizers(), set(), {})
         scope = Scope([source], None, {}, None, {})
         where = low.truth(s.where, scope) if s.where is not None else "true"
         if s.limit is None:

@@ -184,3 +184,22 @@ def test_other_formats(spark, tmp_path):
     engine = register_folder(Engine(spark), str(tmp_path), ["t"], "json")
     register_folder(engine, str(tmp_path), ["u"], "csv", header="true", inferSchema="true")
     assert values(engine.sql("SELECT t.v, u.w FROM t JOIN u ON t.k = u.k")) == [("b", 0.5)]
+
+
+def test_posting_tables(spark, e):
+    """Searches with an index give what they give without one, and read its postings."""
+    rows = "(1, 'Red cat', '{\"a\":{\"b\":[1,\"x\"]},\"a.b\":2}'), (2, 'concatenated', '{\"a\":{\"b\":2}}'), (3, NULL, NULL), (4, 'cat-red ÜBER 東京タワー', '[{\"a\":null}]')"
+    searches = ["body @@ 'cat'", "body @@ 'CAT' AND body @@ 'red'", "body LIKE '%at%'", "body LIKE 'R_d c%'", "body = 'Red cat'", "body IN ('Red cat', 'x y')", "body @@ 'über'", "body @@ '京タ'", "body LIKE '%京タワ%'", "NOT body @@ 'cat'", "body @@ 'c'", "body @@ 'red cat'"]
+    documents = ["JSON_VALUE(doc, '$.a.b') = '2'", "JSON_VALUE(doc, '$.a.b[1]') = 'x'", "JSON_VALUE(doc, '$[0].a') = 'x'", "JSON_VALUE(doc, '$.a.b[0]') IN ('1', '3')"]
+    for i, tokenizer in enumerate(("word", "bigram")):
+        for name in (f"plain{i}", f"found{i}"):
+            e.sql(f"CREATE TABLE {name} (id INT, body TEXT, doc JSONB)")
+            e.sql(f"INSERT INTO {name} VALUES {rows}")
+        e.sql(f"CREATE INDEX w ON found{i} (body) USING GIN WITH (tokenizer='{tokenizer}')")
+        e.sql(f"CREATE INDEX j ON found{i} (doc) USING GIN")
+        e.catalog.table(None, f"plain{i}").indexes["w"] = type("I", (), {"columns": ("body",), "method": "GIN", "tokenizer": tokenizer, "view": None, "unique": False})()
+        for where in searches + documents:
+            want = values(e.sql(f"SELECT id FROM plain{i} WHERE {where} ORDER BY id"))
+            assert values(e.sql(f"SELECT id FROM found{i} WHERE {where} ORDER BY id")) == want, (tokenizer, where)
+    plan = values(e.sql("EXPLAIN SELECT id FROM found0 WHERE body @@ 'cat'"))[0]
+    assert plan[3] == "fulltext" and "EqualTo(token,cat)" in plan[7] and "body" not in plan[7].split("ReadSchema: struct<")[1]
