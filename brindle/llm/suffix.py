@@ -543,7 +543,11 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
 
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with repeated bytes cut from ``text``; characters that a cut broke go whole. Documents that
-    lose every byte go; those that had none stay. Other columns are as they were, n_chars is counted anew."""
+    lose every byte go; those that had none stay. Other columns are as they were, n_chars is counted anew.
+
+    Cases as in repeated_bytes(): a null text comes back empty; rows with one doc_id, or without one, do not take from
+    each other, so equal rows stay or are cut alike; long texts are whole; columns of any name; empty in, empty out.
+    """
     out = repeated_bytes(spark, docs).where("n_bytes = 0 OR n_removed < n_bytes")
     names = [c for c in docs.columns if c != "text"]
     at = {c: F.col(f"c{docs.columns.index(c)}") for c in names}

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from brindle.llm import bpe, chat, gif, graph, licenses, mixing, nearcopies, quality, sharding, simhash, suffix, tokens
+from brindle.llm import bpe, chat, common, gif, graph, licenses, mixing, nearcopies, quality, sharding, simhash, suffix, tokens
 
 BASE = "the quick brown fox jumps over the lazy dog while it rains on the grey town and nobody minds at all today "
 ODD = [
@@ -62,6 +62,32 @@ def test_odd_and_empty_tables(spark, odd, labels, name):
         assert n == len(ODD)
 
 
+@pytest.mark.parametrize("name", ["suffix", "cut", "gif", "simhash", "copies", "licences", "digests", "files", "quality", "kept", "mixing", "mixed"])
+def test_texts_larger_than_an_arrow_batch(spark, labels, name):
+    """5 MB in one text, beside short ones; the long one comes twice."""
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(4000)]
+    long = "\n".join(" ".join(r.choice(words) for _ in range(40)) for _ in range(24_000))
+    assert len(long) > common.BATCH_BYTES
+    rows = [(0, BASE), (1, long), (2, BASE + "x"), (3, long), (4, None)]
+    df = spark.createDataFrame([(i, t, 1, 2, "x", 3, 4, "y", 5) for i, t in rows], SCHEMA)
+    out = operators(spark, labels)[name](df).collect()
+    if name == "suffix":
+        assert {x.c0: x.n_removed for x in out} == {0: 0, 1: 0, 2: len(BASE), 3: len(long), 4: 0}
+    if name == "gif":
+        assert {x.doc_id: x.n_bytes for x in out}[3] == len(long) and len({x.payload_sha256 for x in out if x.doc_id in (1, 3)}) == 1
+    if name == "simhash":
+        assert {x.doc_id: x.component_id for x in out}[3] == 1
+    if name == "copies":
+        assert {x.doc_id for x in out} >= {1, 4} and 3 not in {x.doc_id for x in out}
+    if name == "digests":
+        want = bpe.tokenizer(bpe.default_tokenizer_path()).library.encode(long, add_special_tokens=False).ids
+        assert {x.doc_id: x.n_tokens for x in out}[1] == len(want) == {x.doc_id: x.n_tokens for x in out}[3]
+        assert {x.doc_id: x.ids_sha256 for x in out}[1] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+    if name == "quality":
+        assert {x.doc_id: x.n_words for x in out}[1] == 960_000
+
+
 def test_sharding(spark, odd):
     rows = sharding.shard_table(spark, odd, [1.0, 2.0, 0.0, 1.0]).collect()
     for s in {r.shard for r in rows}:
