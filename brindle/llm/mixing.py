@@ -8,6 +8,7 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +16,17 @@ from .common import documents, forget, save, text_or_empty
 
 TRAIN_ROWS = 6000  # labelled documents the classifier is fitted on, at most
 MIN_DOCS = 5  # labelled documents of a language that must have a telltale word
-#: A word is telltale in a language if one domain has it RATIO times as often as each other one, with a likelihood ratio
-#: statistic of SIGNIFICANCE or more against each (about one chance in 10,000). All such words count, whatever their number.
+#: A word is telltale in a language if one domain has it RATIO times as often as all others together, with a likelihood
+#: ratio statistic of SIGNIFICANCE or more (about one chance in 10,000). All such words count, whatever their number.
 SIGNIFICANCE, RATIO = 15.0, 2.5
+POOLED = 2.0  # rows of the language's average that a domain's share of a word starts from
 STEM_LETTERS = (6, 8)  # words this long or longer count by such beginnings, too
 SPACES, NO_LETTERS = r"[ \t\n\x0B\f\r]+", r"[^\p{L}\p{M} \t\n\x0B\f\r]+"
 ROUNDS = 40
 TOLERANCE = 1e-6  # relative gap that ends the rounds
 REPORTED = 1e-2  # relative gap beyond which targets count as missed
 CALM = 1e-4  # weight of a rate's distance from 1 against the gap
-RIDGE = 1e-9  # of the Gram matrix, relative
+IDENTIFIED = 0.25  # least share of explained variance of a direction in which rates are moved
 DOMAINS = ("clean", "toxic", "low")
 #: Wanted expected tokens of each domain, as a share of what it has.
 KEEP = (1.0, 0.25, 0.5)
@@ -130,46 +132,39 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> DomainModel:
     counts: dict[str, list[int]] = {"": [stats[d]["n"] if d in stats else 0 for d in k]}
     for r in rows.groupBy("lang", "domain").count().collect():
         counts.setdefault(r["lang"], [0 for _ in k])[r["domain"]] += r["count"] if r["lang"] else 0
-    size = {g: [max(1, x) for x in n] for g, n in counts.items()}
     spoken = rows.select("domain", F.explode("words").alias("w"), "lang")
     total = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{d}") for d in k]
     seen = spoken.where("lang <> ''").groupBy("lang", "w").agg(*total).unionByName(spoken.groupBy("w").agg(*total).withColumn("lang", F.lit("")))
-    sizes = spark.createDataFrame([(g, *map(float, n)) for g, n in size.items()], "lang string, " + ", ".join(f"m{d} double" for d in k))
+    sizes = spark.createDataFrame([(g, *map(float, n)) for g, n in counts.items()], "lang string, " + ", ".join(f"m{d} double" for d in k))
     judged = seen.where(F.expr(" + ".join(f"n{d}" for d in k)) >= MIN_DOCS).where("w <> ''").join(F.broadcast(sizes), "lang")
-    rate = [(F.col(f"n{d}") + 0.1) / (F.col(f"m{d}") + 1.0) for d in k]
+    n_all, m_all = (sum((F.col(f"{c}{d}") for d in k[1:]), F.col(f"{c}0")) for c in "nm")
 
     def wins(d: int) -> Column:
-        out = F.lit(True)
-        for o in k:
-            if o != d:
-                out = out & (rate[d] >= RATIO * rate[o]) & (_likelihood_ratio(F.col(f"n{d}"), F.col(f"m{d}"), F.col(f"n{o}"), F.col(f"m{o}")) >= SIGNIFICANCE)
-        return out
-
-    telltale = wins(0)
-    for d in k[1:]:
-        telltale = telltale | wins(d)
-    words: dict[str, dict[str, list[float]]] = {g: {} for g in size}
-    for r in judged.where(telltale).collect():
-        words[r["lang"]][r["w"]] = [(r[f"n{d}"] + 0.1) / (size[r["lang"]][d] + 1.0) for d in k]
-    prior = {g: [math.log(x / sum(n)) for x in n] for g, n in size.items()}
+        n, m = F.col(f"n{d}"), F.col(f"m{d}")
+        more = n * (m_all - m + 1) >= RATIO * (n_all - n + 0.1) * (m + 1)
+        return (m > 0) & (m_all > m) & more & (_likelihood_ratio(n, m, n_all - n, m_all - m) >= SIGNIFICANCE)
+
+    words: dict[str, dict[str, list[float]]] = {g: {} for g in counts}
+    for r in judged.where(wins(0) | wins(1) | wins(2)).collect():
+        m = counts[r["lang"]]
+        pooled = (sum(r[f"n{d}"] for d in k) + 0.1) / (sum(m) + 1.0)
+        words[r["lang"]][r["w"]] = [(r[f"n{d}"] + POOLED * pooled) / (m[d] + POOLED) for d in k]
+    prior = {g: [math.log(max(1, x) / sum(max(1, y) for y in n)) for x in n] for g, n in counts.items()}
     forget(spark, rows)
     return DomainModel(prior, words, shape)
 
 
-def _solve(m: list[list[float]], b: list[float]) -> list[float]:
-    """Gaussian elimination with pivots of a domains x domains system."""
-    n = len(b)
-    a = [[*row, x] for row, x in zip(m, b, strict=True)]
-    for i in range(n):
-        p = max(range(i, n), key=lambda r: abs(a[r][i]))
-        a[i], a[p] = a[p], a[i]
-        if abs(a[i][i]) < 1e-300:
-            continue
-        for r in range(n):
-            if r != i:
-                f = a[r][i] / a[i][i]
-                a[r] = [x - f * y for x, y in zip(a[r], a[i], strict=True)]
-    return [a[i][n] / a[i][i] if abs(a[i][i]) >= 1e-300 else 0.0 for i in range(n)]
+def descent_metric(gram: list[list[float]], have: Sequence[float]) -> list[list[float]]:
+    """The inverse of the Gram matrix sum(tokens * p * p') in the directions that memberships tell apart.
+
+    Scaled by what the domains have, its eigenvalues lie between 0 (all rows have one membership in this direction, so
+    only extreme rates would move it) and 1 (every row is wholly on one side): the share of explained variance.
+    Directions below IDENTIFIED are left alone.
+    """
+    scale = np.array([1 / math.sqrt(h) if h > 0 else 0.0 for h in have])
+    value, vector = np.linalg.eigh(np.array(gram) * scale[:, None] * scale)
+    inverse = np.where(value >= IDENTIFIED, 1 / np.maximum(value, IDENTIFIED), 0.0)
+    return ((vector * inverse) @ vector.T * scale[:, None] * scale).tolist()
 
 
 @dataclass
@@ -183,12 +178,13 @@ class Fit:
 def fitted_rates(members: DataFrame, targets: Sequence[float]) -> tuple[Column, Fit]:
     """The rate of each row of a (tokens, p) table: r >= 0, near 1, with sum(tokens*r*p[k]) near targets[k].
 
-    Projected gradient descent on the squared distance g to the targets, in the metric of the Gram matrix
-    M = sum(tokens * p * p') of all rows, plus CALM * sum(tokens * (r - 1)^2). In that metric the curvature is
-    1 + CALM, so the step is 1 / (1 + CALM), every round comes closer, and nothing can run away: r becomes
-    max(0, r - step * (p' M^-1 g + CALM * (r - 1))). A round is one aggregate of a sum per domain over the table. A
-    row's rate is a fold over the steps so far, so nothing is stored or shuffled between rounds. Targets that no
-    rates meet are reported.
+    Projected gradient descent on the squared distance g to the targets, in the metric M^-1 of descent_metric() for all
+    rows, plus CALM * sum(tokens * (r - 1)^2). In that metric the curvature is at most 1 + CALM, so the step is
+    1 / (1 + CALM) and every round comes closer: r becomes max(0, r - step * (p' M^-1 g + CALM * (r - 1))). A domain
+    whose memberships explain less than IDENTIFIED of their own variance is left at what it has, and its target is
+    missed: no rates but extreme ones would meet it. A round is one aggregate of a
+    sum per domain over the table. A row's rate is a fold over the steps so far, so nothing is stored or shuffled
+    between rounds. Missed targets are reported.
     """
     k = len(targets)
     steps: list[list[float]] = []
@@ -197,7 +193,10 @@ def fitted_rates(members: DataFrame, targets: Sequence[float]) -> tuple[Column,
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     sums = members.agg(*[F.coalesce(F.sum(F.col("tokens") * p[i] * p[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i, j in pairs], *[F.coalesce(F.sum(F.col("tokens") * p[i]), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
     have = [sums[f"t{i}"] for i in range(k)]
-    gram = [[sums[f"m{min(i, j)}_{max(i, j)}"] * (1 + RIDGE if i == j else 1) for j in range(k)] for i in range(k)]
+    whole = max(1.0, sum(have))
+    told = [(sums[f"m{i}_{i}"] / h - h / whole) / (1 - h / whole) if 0 < h < whole else 1.0 for i, h in enumerate(have)]
+    aim = [t if x >= IDENTIFIED else h for t, h, x in zip(targets, have, told, strict=True)]
+    metric = descent_metric([[sums[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], have)
 
     def rate() -> Column:
         if not steps:
@@ -212,16 +211,17 @@ def fitted_rates(members: DataFrame, targets: Sequence[float]) -> tuple[Column,
 
         return F.aggregate(listed, F.lit(1.0), after)
 
-    missed = last = math.inf
+    last = math.inf
     while True:
         live = members.select("tokens", "p", rate().alias("r"))
         sums = live.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("r") * p[i]), F.lit(0.0)).alias(f"a{i}") for i in range(k)]).first()
-        gap = [t - sums[f"a{i}"] for i, t in enumerate(targets)]
-        missed = max(abs(g) / max(1.0, h) for g, h in zip(gap, have, strict=True))
-        if missed <= TOLERANCE or abs(last - missed) <= 1e-3 * missed or len(steps) == ROUNDS:
+        gap = [t - sums[f"a{i}"] for i, t in enumerate(aim)]
+        missed = max(abs(t - sums[f"a{i}"]) / max(1.0, h) for i, (t, h) in enumerate(zip(targets, have, strict=True)))
+        far = max(abs(g) / max(1.0, h) for g, h in zip(gap, have, strict=True))
+        if far <= TOLERANCE or abs(last - far) <= 1e-3 * far or len(steps) == ROUNDS:
             break
-        last = missed
-        steps.append([step * x for x in _solve(gram, gap)])
+        last = far
+        steps.append([step * sum(m * g for m, g in zip(row, gap, strict=True)) for row in metric])
     if missed > REPORTED:
         warnings.warn(f"mixing targets are missed by {missed:.1%} of a domain's tokens after {len(steps)} rounds", stacklevel=2)
     return rate(), Fit(len(steps), missed)

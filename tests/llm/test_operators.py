@@ -564,7 +564,7 @@ def test_training_rows_are_bounded(spark, monkeypatch):
 
 def brute_rates(tokens, p, targets, rounds=40):
     """The same descent with numpy, and the least squares it stands for."""
-    metric = np.linalg.inv((tokens[:, None] * p).T @ p * (1 + mixing.RIDGE * np.eye(p.shape[1])))
+    metric = np.linalg.inv((tokens[:, None] * p).T @ p)
     r = np.ones(len(tokens))
     for _ in range(rounds):
         r = np.maximum(0, r - (p @ metric @ ((tokens * r) @ p - targets) + mixing.CALM * (r - 1)) / (1 + mixing.CALM))
@@ -591,6 +591,19 @@ def test_rates_by_brute_force(spark, keep):
         assert fit.missed < 1e-3
 
 
+def test_rates_stay_near_one_where_nothing_is_told_apart(spark):
+    """Memberships that hardly differ: targets are missed, and reported, rather than met by extreme rates."""
+    g = np.random.default_rng(4)
+    p = np.array([0.86, 0.13, 0.01]) + g.normal(0, 0.01, (300, 3))
+    p = np.abs(p) / np.abs(p).sum(axis=1, keepdims=True)
+    rows = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(g.integers(1, 900, 300), p)], "tokens long, p array<double>")
+    have = [rows.selectExpr(f"sum(tokens * p[{k}]) AS s").first()["s"] for k in range(3)]
+    with pytest.warns(UserWarning, match="missed"):
+        rate, fit = mixing.fitted_rates(rows, [h * s for h, s in zip(have, mixing.KEEP)])
+    got = [r["r"] for r in rows.select(rate.alias("r")).collect()]
+    assert fit.missed > 0.4 and min(got) > 0.8 and max(got) < 1.1
+
+
 def test_posteriors_by_brute_force(spark):
     """Naive Bayes re-computed word by word, two languages and one that was never seen."""
     share = {"": {"foul": [0.01, 0.6, 0.1]}, "de": {"übel": [0.02, 0.5, 0.1], "bösart-": [0.01, 0.3, 0.2]}}
