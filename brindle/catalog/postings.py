@@ -16,14 +16,18 @@ WORD_BREAKS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 ROWS_OF_FILE = 4_000_000  # postings of one file, about
 
 
-def words(text) -> F.Column:
-    return F.filter(F.split(F.lower(text), WORD_BREAKS), lambda w: w != "")
+def words(rows: DataFrame, column: str, rowid: str) -> DataFrame:
+    """(token, id) of the distinct words in lower case."""
+    found = F.array_distinct(F.split(F.lower(F.col(column)), WORD_BREAKS))
+    return rows.select(F.explode(found).alias("token"), F.col(rowid).alias("id")).where("token <> ''")
 
 
-def bigrams(text) -> F.Column:
-    low = F.lower(text)
-    starts = F.when(F.length(low) > 1, F.sequence(F.lit(1), F.length(low) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(low, i, F.lit(2)))
+def bigrams(rows: DataFrame, column: str, rowid: str) -> DataFrame:
+    """(token, id) of the distinct pairs of neighbouring characters in lower case. The characters are a column of their
+    own: a text inside a lambda would be cut again for each pair."""
+    chars = rows.select(F.split(F.lower(F.col(column)), "").alias("chars"), F.col(rowid).alias("id"))
+    pairs = F.transform("chars", lambda c, i: F.concat(c, F.get(F.col("chars"), i + 1)))
+    return chars.select(F.explode(F.array_distinct(pairs)).alias("token"), "id").where("length(token) = 2")
 
 
 def paths(rows: DataFrame, column: str, rowid: str) -> DataFrame:
@@ -50,11 +54,7 @@ def paths(rows: DataFrame, column: str, rowid: str) -> DataFrame:
 
 def build(spark: SparkSession, rows: DataFrame, column: str, tokenizer: str, rowid: str, path: str) -> DataFrame:
     """Write the postings of a table's column; ranges of tokens, sorted, a hot token in as many files as it fills."""
-    c = F.col(f"`{column}`")
-    if tokenizer == "jsonb_path_ops":
-        postings = paths(rows, f"`{column}`", rowid)
-    else:
-        postings = rows.select(F.explode(F.array_distinct(words(c) if tokenizer == "word" else bigrams(c))).alias("token"), F.col(rowid).alias("id"))
+    postings = {"word": words, "bigram": bigrams, "jsonb_path_ops": paths}[tokenizer](rows, f"`{column}`", rowid)
     # a token may be in any number of rows: ranges are of (token, id)
     postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.option("maxRecordsPerFile", ROWS_OF_FILE).parquet(path)
     return spark.read.schema("token string, id long").parquet(path)
