@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,7 @@ CLASSES = ((0, 7), (8, 15), (16, 23), (24, SPAN))
 SAMPLE_ROWS = 4096  # chunks that give keys for the ranges' bounds, at most
 SAMPLE_KEYS = 64  # keys of each
 BLOCK = 1 << 17
+PART_KEYS = 1 << 14  # keys that are put together at once
 LOWEST = -(1 << 63)
 
 _rng = np.random.default_rng(20)
@@ -126,9 +128,12 @@ def suffix_keys(data: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarr
     ahead, back = np.arange(LENGTH), np.arange(1, SPAN + 1)
     out = np.zeros((len(q), KEY), np.uint8)
     on, before = LENGTH - low, high
-    padded = np.concatenate([data, np.zeros(LENGTH, np.uint8)])
-    out[:, :LENGTH] = np.where(ahead < on[:, None], padded[q[:, None] + ahead], 0)
-    out[:, LENGTH : LENGTH + SPAN] = np.where(back <= before[:, None], padded[np.maximum(q[:, None] - back, 0)], 0)
+    after = sliding_window_view(np.concatenate([data, np.zeros(LENGTH, np.uint8)]), LENGTH)
+    ahead_of = sliding_window_view(np.concatenate([np.zeros(SPAN, np.uint8), data]), SPAN)  # at q: the SPAN bytes before q
+    for s in range(0, len(q), PART_KEYS):
+        e = s + PART_KEYS
+        out[s:e, :LENGTH] = after[q[s:e]] * (ahead < on[s:e, None])
+        out[s:e, LENGTH : LENGTH + SPAN] = ahead_of[q[s:e]][:, ::-1] * (back <= before[s:e, None])
     out[:, -3], out[:, -2], out[:, -1] = on, before, 1
     return out
 
@@ -265,7 +270,7 @@ def hot_anchors(found: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray,
 def placed(data: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray, bounds: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, ...]:
     """(index into q, low, high, range, key) of each anchor: one range, or for a hot anchor one for each class of offsets
     it has windows of, chosen by the bytes that all windows of the class share."""
-    seeds = np.ascontiguousarray(data[q[:, None] + np.arange(SEED)]).view(f"S{SEED}").ravel()
+    seeds = sliding_window_view(data, SEED)[q].view(f"S{SEED}").ravel() if len(q) else np.zeros(0, f"S{SEED}")
     index, rng = np.arange(len(q)), np.searchsorted(bounds, seeds, "right").astype(np.int64)
     at = np.searchsorted(hot, seeds)
     is_hot = (hot[np.minimum(at, len(hot) - 1)] == seeds) if len(hot) else np.zeros(len(q), bool)
@@ -278,8 +283,10 @@ def placed(data: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray, b
             continue
         lo, hi = np.maximum(low[mine], first), np.minimum(high[mine], last)
         keys = suffix_keys(data, q[mine], lo, hi)
-        shared = np.concatenate([keys[:, : LENGTH - last], keys[:, LENGTH : LENGTH + first]], axis=1)
-        deal = _stir((_MIX[shared] * _POWERS[: shared.shape[1]]).sum(axis=1, dtype=np.uint64)) >> np.uint64(32)
+        deal = np.zeros(len(mine), np.uint64)
+        for i, j in enumerate([*range(LENGTH - last), *range(LENGTH, LENGTH + first)]):  # the shared bytes
+            deal += _MIX[keys[:, j]] * _POWERS[i]
+        deal = _stir(deal) >> np.uint64(32)
         n = parts[at[mine]]
         found.append((mine, lo, hi, base[at[mine]] + c * n + (deal.astype(np.int64) % n), keys))
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -353,6 +360,9 @@ def _merge_range(table: pa.Table) -> pa.Table:
         owner.append(len(ctx) - 1)
         entry.append((r, i))
     settle()
+    matrices.clear()
+    runs.clear()
+    release_memory()
     rng = table.column("range")[0].as_py()
     keep = [j for j in range(len(chunk)) if same[j][0] or each[j][0]]
 
@@ -446,6 +456,7 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
             both = np.concatenate([a, b])
             spot = np.minimum(np.searchsorted(alive, both), max(0, len(alive) - 1))
             out.append(np.sort(both[alive[spot] == both]).tobytes() if len(alive) else b"")
+        release_memory()
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(chunk), pa.int32()), "alive": pa.array(out, pa.binary())})
 
     alive = prints.where("bucket >= 0").groupBy("bucket").applyInArrow(living, "chunk long, bucket int, alive binary")
@@ -470,6 +481,7 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
                 d = np.searchsorted(ends, q, "right")
                 tagged = np.concatenate([rng.astype(">u4").view(np.uint8).reshape(-1, 4), matrix], axis=1)
                 keys, where, back = np.unique(tagged.reshape(-1).view(f"S{KEY + 4}"), return_index=True, return_inverse=True)
+                del tagged
                 least = np.full(len(keys), (1 << 63) - 1)
                 most = np.full(len(keys), LOWEST)
                 np.minimum.at(least, back, ids[d])
@@ -534,6 +546,7 @@ def repeated_bytes(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", t
             removed.append(int(c.sum()))
             spans.append(int(c[:1].sum() + (c[1:] & ~c[:-1]).sum()))
             kept.append(data[e - s : e][~c].tobytes() if removed[-1] else data[e - s : e].tobytes())
+        release_memory()
         cols = {"__ord": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())}
         return pa.table(cols | {f.name: table.column(f.name) for f in kept_cols})
 
