@@ -2,6 +2,10 @@
 
 A stage is a function (spark, docs, sf_dir) -> DataFrame; all but the last return the columns of
 ``documents``. A runner writes each stage's rows as Parquet and reads them back for the next one.
+
+Cases, for every stage: rows are judged one by one, whatever their ids; an empty table gives an empty
+one; columns of any name come back as they were; long texts are whole. Null and empty texts fail the
+quality rules; a stage that gets them nevertheless keeps them (the suffix stage as empty texts).
 """
 
 from __future__ import annotations
@@ -52,7 +56,7 @@ STAGES = [
     ("BPE encoding and decoding", bpe_tokens),
 ]
 
-#: None: line labels, links of fingerprints and BPE are beyond SQL; tests compare with brute force.
+#: None: line labels, links of fingerprints and BPE are beyond SQL; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
