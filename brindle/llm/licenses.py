@@ -21,7 +21,7 @@ PASS_SHINGLES = 1 << 16  # of the templates of one pass, which are literals of i
 #: window has local containment c at least: 4 of 4 shingles, 13 of 16, or 47 of 64 where both grids lie worst.
 WINDOWS = ((1, 1, 1), (4, 1, 1), (16, 6, 1), (64, 6, 8))
 BLOCK = 8  # shingles from one window of the largest size to the next
-WHOLE_TEXTS = "/usr/share/common-licenses"  # whole licences, one a file, as Debian systems have them
+WHOLE_TEXTS = Path(__file__).with_name("licence_texts")  # whole licences, one a file, as Debian's base-files has them
 
 #: Notices and short licences as their publishers word them.
 TEMPLATES = {
@@ -104,10 +104,15 @@ TEMPLATES = {
 }
 
 
-def whole_texts(folder: str = WHOLE_TEXTS) -> dict[str, str]:
-    """Licences of a folder of text files on the driver, by file name; none without the folder. Links are left out."""
-    files = sorted(f for f in Path(folder).iterdir() if f.is_file() and not f.is_symlink()) if Path(folder).is_dir() else []
-    return {f"{f.name.lower()}-text": f.read_text(encoding="utf-8", errors="replace") for f in files}
+def whole_texts(folder: str | Path = WHOLE_TEXTS) -> dict[str, str]:
+    """Licences of a folder of text files on the driver, by file name. Links are left out. A folder that is missing or has
+    no files, a file that is not UTF-8 or two names that differ in case only are errors: fewer templates would find less
+    and look like a result."""
+    files = sorted(f for f in Path(folder).iterdir() if f.is_file() and not f.is_symlink())
+    out = {f"{f.name.lower()}-text": f.read_text(encoding="utf-8") for f in files}
+    if not files or len(out) < len(files):
+        raise ValueError(f"no licences in {folder}" if not files else f"files of one name in {folder}")
+    return out
 
 
 def collision_probability(bands: int, similarity: float) -> float:
@@ -234,7 +239,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates: Mapping[str,
 
 
 def production_templates() -> dict[str, str]:
-    """The notices and short licences above, and the whole licences this machine has."""
+    """The notices and short licences above, and the whole licences beside this file: the same on every machine."""
     return TEMPLATES | whole_texts()
 
 

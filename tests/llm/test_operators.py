@@ -7,6 +7,7 @@ import re
 import time
 import warnings
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -436,6 +437,23 @@ def test_whole_licences(spark, monkeypatch):
     assert sorted(tuple(x) for x in licenses.scan_licenses(spark, df, templates).collect()) == want and len(want) > 2 * len(templates)
 
 
+def test_licences_that_cannot_be_read_are_errors(tmp_path):
+    """The templates come with the package; a folder without them is no empty set of templates."""
+    assert licenses.WHOLE_TEXTS.parent == Path(licenses.__file__).parent and len(licenses.whole_texts()) == 14
+    with pytest.raises(FileNotFoundError):
+        licenses.whole_texts(tmp_path / "none")
+    with pytest.raises(ValueError, match="no licences"):
+        licenses.whole_texts(tmp_path)
+    (tmp_path / "A").write_bytes(b"five words of a licence")
+    assert licenses.whole_texts(str(tmp_path)) == {"a-text": "five words of a licence"}
+    (tmp_path / "B").write_bytes(b"five words of a licence\xff")
+    with pytest.raises(UnicodeDecodeError):
+        licenses.whole_texts(tmp_path)
+    (tmp_path / "B").rename(tmp_path / "a").write_bytes(b"five other words of it")
+    with pytest.raises(ValueError, match="one name"):
+        licenses.whole_texts(tmp_path)
+
+
 def test_bpe_equals_the_library(spark, monkeypatch):
     r = random.Random(5)
     parts = ["'s", "'re", "'v", "''", " ", "  ", "\n", "\t", " \n", "a", "The", "é", "中文", "123", "!", "...", "😀", "́", "²", "\x1c", "\x85", "<|endoftext|>"]
