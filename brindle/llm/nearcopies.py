@@ -23,6 +23,9 @@ NUMERATOR, DENOMINATOR = 4, 5  # least similarity, as a fraction: 0.8
 BLOCK_SHINGLES = 1 << 20  # a cluster with more is compared block by block
 DIGEST = 16  # bytes that stand for a set
 KEY = ["doc_id", "k1", "k2"]  # of a row: its id and two hashes of its text
+#: 64-bit words of a row filter at most (16 MB), bits for each key up to there. More keys let more rows through to the
+#: join that decides: about 1 % at 12 bits, all rows at worst.
+FILTER_WORDS, FILTER_BITS = 1 << 21, 12
 
 _ODD = np.random.default_rng(SEED).integers(1 << 31, size=(2, BANDS * ROWS), dtype=np.uint32) << np.uint32(1) | np.uint32(1)
 _PLACES = np.random.default_rng(SEED + 1).integers(1 << 63, size=SHINGLE_WORDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -169,6 +172,34 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
 
 
+def _word(words: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(2), *KEY), F.lit(words)).cast("int")
+
+
+def _mask() -> Column:
+    """Four of the 64 bits of a key's word (some may coincide)."""
+    h = F.xxhash64(F.lit(3), *KEY)
+    one = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(4)]
+    return one[0].bitwiseOR(one[1]).bitwiseOR(one[2]).bitwiseOR(one[3])
+
+
+def row_filter(spark: SparkSession, keys: DataFrame) -> tuple[int, DataFrame]:
+    """A Bloom filter of the rows of keys(doc_id, k1, k2): its number of words, and a saved table of one row with them."""
+    words = max(1, min(FILTER_WORDS, -(-keys.count() * FILTER_BITS // 64)))
+    set_ = keys.select(_word(words).alias("word"), _mask().alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros(words, np.int64)
+    bits[set_.column("word").to_numpy()] = set_.column("mask").to_numpy()
+    row = pa.table({"bits": pa.ListArray.from_arrays(pa.array([0, words], pa.int32()), pa.array(bits))})
+    return words, save(spark, spark.createDataFrame(row), "row-filter")
+
+
+def filtered(rows: DataFrame, known: tuple[int, DataFrame], how: str) -> DataFrame:
+    """rows(doc_id, k1, k2, ...), without a shuffle: left_semi, those that may be in row_filter()'s keys, all that are
+    among them; left_anti, the others."""
+    words, table = known
+    return rows.join(F.broadcast(table), F.get("bits", _word(words)).bitwiseAND(_mask()) == _mask(), how)
+
+
 def copy_groups(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two saved tables: (doc_id, k1, k2, n, sig), the distinct rows by id and text and how often they come, and
     (sig, cluster) of the texts with words; equal clusters are copies."""
@@ -211,7 +242,9 @@ def copy_groups(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text
     points = save(spark, points.select("sig", "fp", *[f"t.{k}" for k in KEY]).withColumn("id", F.monotonically_increasing_id()), "shingle-points")
     clusters = save(spark, candidate_clusters(spark, points), "candidate-clusters")
     wanted = save(spark, points.join(clusters, "id").select(*KEY, "id", "cluster"), "candidate-texts")
-    found = texts.join(wanted, same_row(texts, wanted)).select("cluster", "id", "text")
+    known = row_filter(spark, wanted)  # texts of other rows stay where they are
+    maybe = filtered(texts, known, "left_semi")
+    found = maybe.join(wanted, same_row(maybe, wanted)).select("cluster", "id", "text")
     if not rows.where("n > 1").isEmpty():
         found = found.groupBy("cluster", "id").agg(F.first("text").alias("text"))
     sets = save(spark, found.mapInArrow(shingles, "cluster long, id long, n long, members binary"), "shingle-sets", compression="uncompressed")
@@ -225,7 +258,7 @@ def copy_groups(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text
     links = dealt.groupBy("cluster", "low", "high").applyInArrow(stars, "u long, v long")
     roots = save(spark, components(spark, links), "copy-roots")
     groups = save(spark, points.join(roots, points["id"] == roots["node"], "left").select(F.substring("sig", 1, DIGEST).alias("sig"), F.coalesce("root", "id").alias("cluster")), "copy-groups")
-    forget(spark, signed, points, clusters, wanted, sets, sizes, roots)
+    forget(spark, signed, points, clusters, wanted, known[1], sets, sizes, roots)
     return rows, groups
 
 
@@ -267,9 +300,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, doc_id: str = "doc
     at = docs.columns.index(doc_id), docs.columns.index(text)
     body = F.col(names[at[1]]).cast("string")
     keyed = carried.select(*names, F.col(names[at[0]]).cast("long").alias("doc_id"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"))
-    out = keyed.join(gone, same_row(keyed, gone), "left_anti").select(*names)
+    known = row_filter(spark, gone)  # rows that are not in it stay, and stay where they are
+    maybe = filtered(keyed, known, "left_semi")
+    out = filtered(keyed, known, "left_anti").select(*names).unionAll(maybe.join(gone, same_row(maybe, gone), "left_anti").select(*names))
     again = gone.where("stays")
     if not again.isEmpty():  # equal rows, one of which stays
-        firsts = keyed.join(again, same_row(keyed, again), "left_semi").groupBy(*KEY).agg(F.first(F.struct(*names)).alias("row"))
+        firsts = maybe.join(again, same_row(maybe, again), "left_semi").groupBy(*KEY).agg(F.first(F.struct(*names)).alias("row"))
         out = out.unionAll(firsts.select("row.*"))
     return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -116,6 +116,50 @@ def test_copies_are_decided_by_row(spark):
     assert {(5, 3, 2), (None, 3, 1), (None, 4, 2), (9, 3, 1), (6, 6, 1), (8, 8, 2)} <= counted
 
 
+def shuffled_bytes(spark):
+    jsc = spark.sparkContext._jsc.sc()
+    jsc.listenerBus().waitUntilEmpty()
+    executors = jsc.statusStore().executorList(True)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("words", [None, 1])
+def test_texts_without_copies_are_not_shuffled(spark, monkeypatch, tmp_path, unbroadcast, words):
+    """Row by row what brute force keeps, even if a full filter lets all rows through to the joins."""
+    if words:
+        monkeypatch.setattr(nearcopies, "FILTER_WORDS", words)
+    r = random.Random(8)
+    texts = [[f"{r.getrandbits(64):x}" for _ in range(900)] for _ in range(200)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(300 + i, " ".join(edited(r, texts[20 * i], "replaced", 0.1))) for i in range(5)]  # near copies
+    rows += [(7, rows[7][1]), (8, "another text " + rows[9][1]), (None, rows[11][1]), (None, "alone " * 9), (400, None), (400, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "in"))
+    before = shuffled_bytes(spark)
+    nearcopies.without_near_copies(spark, spark.read.parquet(str(tmp_path / "in"))).write.parquet(str(tmp_path / "out"))
+    moved = shuffled_bytes(spark) - before
+    got = sorted(str(tuple(x)) for x in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(str(x) for x in [*rows[:9], rows[206], *rows[10:200], (None, "alone " * 9), (400, None), (400, None)])
+    assert words or moved < 0.5 * sum(len(t or "") for _, t in rows)
+
+
+def test_row_filter(spark):
+    keys = [(i, i * i, -i) for i in range(500)] + [(None, 5, 6)]
+    rows = spark.createDataFrame(keys + [(i, i * i, i) for i in range(1, 5001)], "doc_id long, k1 long, k2 long")
+    known = nearcopies.row_filter(spark, spark.createDataFrame(keys, rows.schema))
+    let, others = ({tuple(x) for x in nearcopies.filtered(rows, known, how).collect()} for how in ("left_semi", "left_anti"))
+    assert set(keys) <= let and not let & others and len(let) + len(others) == 5501 and len(let) < 501 + 250
+    none = nearcopies.row_filter(spark, rows.limit(0))
+    assert nearcopies.filtered(rows, none, "left_semi").count() == 0
+
+
 def test_exact_links_at_the_border():
     ten = np.arange(10, dtype=np.uint64)
     assert nearcopies.exact_links([ten[:4], ten[:5]]).tolist() == [0, 0]  # 4 of 5
