@@ -74,6 +74,8 @@ def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
         valid[max(e - s, e - LENGTH + 1) : e] = False
     at: list[np.ndarray] = []
     prints: list[np.ndarray] = []
+    firsts: list[np.ndarray] = []
+    lasts: list[np.ndarray] = []
     for a in range(0, max(0, n - LENGTH + 1), BLOCK):
         part = data[a : a + BLOCK + LENGTH - 1]
         m = len(part) - SEED + 1
@@ -90,19 +92,28 @@ def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
         if width < SPAN + 1:
             rest = SPAN + 1 - width
             low = np.minimum(low[:-rest], low[rest:])
-        q = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        at.append(q + a)
-        prints.append(h[q])
+        starts = np.flatnonzero(valid[a : a + len(low)])
+        if not len(starts):
+            continue
+        q = (low[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first, last = _runs(q, starts, starts)  # of a block at once: one entry for each position of a chunk is too much
+        at.append(q[first] + a)
+        prints.append(h[q[first]])
+        firsts.append(starts[first] + a)
+        lasts.append(starts[last] + a)
     if not at:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    q, fp = np.concatenate(at), np.concatenate(prints)
-    starts = np.flatnonzero(valid[: len(q)])
-    q, fp = q[starts], fp[starts]
+    q, fp, begin, end = (np.concatenate(x) for x in (at, prints, firsts, lasts))
+    first, last = _runs(q, begin, end)  # of neighbouring blocks
+    return q[first], fp[first], begin[first], end[last]
+
+
+def _runs(q: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of equal q whose window starts, begin to end, follow each other."""
     new = np.ones(len(q), bool)
-    new[1:] = (q[1:] != q[:-1]) | (starts[1:] != starts[:-1] + 1)
+    new[1:] = (q[1:] != q[:-1]) | (begin[1:] != end[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.concatenate([first[1:] - 1, [len(q) - 1]]) if len(first) else first
-    return q[first], fp[first], starts[first], starts[last]
+    return first, np.append(first[1:], len(q)) - 1
 
 
 def _body(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import warnings
 import zlib
 from pathlib import Path
@@ -410,6 +411,22 @@ def test_components(spark):
     assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 130)}
 
 
+def test_anchors_of_blocks_are_those_of_the_whole(monkeypatch):
+    """Runs that cross blocks are joined; memory is a few bytes for each byte of a chunk."""
+    r = np.random.default_rng(4)
+    for data in (r.integers(97, 123, 5000).astype(np.uint8), np.zeros(5000, np.uint8), np.tile(r.integers(97, 123, 37).astype(np.uint8), 140)):
+        sizes = np.array([0, 49, 50, 2001, 100, len(data) - 2200])
+        whole = suffix.anchors(data, sizes)
+        monkeypatch.setattr(suffix, "BLOCK", 64)
+        assert all(np.array_equal(a, b) for a, b in zip(suffix.anchors(data, sizes), whole, strict=True)) and len(whole[0])
+        monkeypatch.undo()
+    data = r.integers(97, 123, 4 << 20).astype(np.uint8)
+    tracemalloc.start()
+    suffix.anchors(data, np.full(2048, 2048))
+    assert tracemalloc.get_traced_memory()[1] < 16 * len(data)
+    tracemalloc.stop()
+
+
 def test_licences(spark):
     long = licenses.TEMPLATES["mit-grant"]
     cut = " ".join(long.split()[3:])
