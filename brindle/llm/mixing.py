@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import warnings
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -39,22 +40,17 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def with_features(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """lang, distinct words (letters, lower case) with their stems, tokens, and shape features of a table (doc_id, text,
-    lang); ``carry`` columns stay."""
+    """lang, distinct words (``plain``: letters, lower case), tokens, and shape features of a table (doc_id, text, lang);
+    ``carry`` columns stay."""
     body = F.col("body")
     n = F.greatest(F.length(body), F.lit(1)).cast("double")
-
-    def stems(k: int) -> Column:
-        return F.transform(F.filter("plain", lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("-")))
-
     return (
         df.select(*carry, "doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_or_empty().alias("body"))
         .withColumn("tokens", F.regexp_count("body", F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long"))
         .withColumn("plain", F.array_distinct(F.split(F.regexp_replace(F.lower("body"), NO_LETTERS, ""), SPACES)))
-        .withColumn("words", F.array_distinct(F.concat("plain", *[stems(k) for k in STEM_LETTERS])))
         .withColumn("k", F.greatest(F.col("tokens"), F.lit(1)).cast("double"))
         .select(
-            *carry, "doc_id", "lang", "tokens", "words",
+            *carry, "doc_id", "lang", "tokens", "plain",
             ((F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>!]+", ""))) / F.col("k")).alias("f_symbols"),
             ((F.length(body) - F.length(F.regexp_replace(body, r"[A-Z]+", ""))) / n).alias("f_upper"),
             (F.size("plain") / F.col("k")).alias("f_distinct"),
@@ -63,6 +59,16 @@ def with_features(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def stems(k: int, of: Column) -> Column:
+    """The distinct stems of k letters of an array of words that all have as many or more."""
+    return F.array_distinct(F.transform(of, lambda w: F.concat(F.substring(w, 1, k), F.lit("-"))))
+
+
+def with_stems() -> Column:
+    """All words and stems of with_features()'s rows, each once."""
+    return F.concat("plain", *[stems(k, F.filter("plain", lambda w: F.length(w) >= k)) for k in STEM_LETTERS])
+
+
 @dataclass
 class DomainModel:
     """Naive Bayes: by language log priors and telltale words with the share of documents that have them, by domain; mean
@@ -77,11 +83,24 @@ class DomainModel:
         """doc_id, tokens and p, an array<double> over DOMAINS, of with_features()'s rows.
 
         Steps are columns of their own: an expression inside a lambda is evaluated for each element. The model is one
-        literal, folded once.
+        literal, folded once. What a word costs does not depend on how many are telltale: words and beginnings are looked
+        up in a set of those of all languages, and only what is found there in its own language's hash buckets.
         """
         base = {g: [p + sum(math.log1p(-share[d]) for share in self.words[g].values()) for d, p in enumerate(prior)] for g, prior in self.prior.items()}
-        odds = {g: {w: [math.log(x / (1 - x)) for x in shares] for w, shares in sorted(words.items())} for g, words in self.words.items()}
-        known = {g: sorted(words) for g, words in self.words.items()}
+        odds: dict[str, list[dict[str, list[float]]]] = {}
+        for g, words in self.words.items():
+            odds[g] = [{} for _ in words or [""]]
+            for w, shares in sorted(words.items()):
+                odds[g][zlib.crc32(w.encode()) % len(odds[g])][w] = [math.log(x / (1 - x)) for x in shares]
+        known = sorted(set().union(*self.words.values()))
+
+        def telltale(k: int) -> Column:
+            beginnings = [w[:k] for w in known if len(w) == k + 1 and w[k] == "-"]
+            return stems(k, F.filter("plain", lambda w: F.substring(w, 1, k).isin(beginnings)))
+
+        def odds_of(w: Column) -> Column:
+            buckets = table(odds, "array<map<string,array<double>>>")
+            return F.element_at(F.element_at(buckets, (F.crc32(w) % F.size(buckets) + 1).cast("int")), w)
 
         def table(value: dict, kind: str) -> Column:
             return F.element_at(F.from_json(F.lit(json.dumps(value)), f"map<string,{kind}>"), F.col("group"))
@@ -92,10 +111,10 @@ class DomainModel:
                 z = (F.col(name) - F.lit(mean)) * (F.col(name) - F.lit(mean)) / F.lit(2 * var)
                 shape[d] = shape[d] - F.least(z, F.lit(12.0)) - F.lit(0.5) * F.log(F.lit(var))
         keep = [*carry, "doc_id", "tokens"]
-        group = F.when(F.col("lang").isin(*[g for g in known if g]), F.col("lang")).otherwise("") if len(known) > 1 else F.lit("")
-        shaped = featured.select(*keep, "words", group.alias("group"), F.array(*shape).alias("shape"))
-        hits = shaped.select(*keep, "group", F.zip_with("shape", table(base, "array<double>"), lambda x, y: x + y).alias("s"), F.array_intersect("words", table(known, "array<string>")).alias("hit"))
-        each = hits.select(*keep, "s", F.transform("hit", lambda w: F.element_at(table(odds, "map<string,array<double>>"), w)).alias("o"))
+        group = F.when(F.col("lang").isin(*[g for g in odds if g]), F.col("lang")).otherwise("") if len(odds) > 1 else F.lit("")
+        shaped = featured.select(*keep, "plain", group.alias("group"), F.array(*shape).alias("shape"))
+        hits = shaped.select(*keep, "group", F.zip_with("shape", table(base, "array<double>"), lambda x, y: x + y).alias("s"), F.concat(F.filter("plain", lambda w: w.isin(known)), *[telltale(k) for k in STEM_LETTERS]).alias("hit"))
+        each = hits.select(*keep, "s", F.filter(F.transform("hit", odds_of), lambda o: o.isNotNull()).alias("o"))
         scored = each.select(*keep, F.aggregate("o", F.col("s"), lambda a, o: F.zip_with(a, o, lambda x, y: x + y)).alias("s"))
         raised = scored.select(*keep, "s", F.array_max("s").alias("top")).select(*keep, F.transform("s", lambda x: F.exp(x - F.col("top"))).alias("e"))
         summed = raised.select(*keep, "e", F.aggregate("e", F.lit(0.0), lambda a, y: a + y).alias("z"))
@@ -123,7 +142,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> DomainModel:
     known = known.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where("domain is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     hits = docs.select("doc_id", "text", "lang").where("text IS NOT NULL").join(F.broadcast(known), "doc_id")  # TRAIN_ROWS rows of two numbers
     one = hits.groupBy("doc_id", "domain").agg(F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), "lang")).alias("row"))
-    rows = save(spark, with_features(one.select("doc_id", "domain", "row.text", "row.lang"), ["domain"]), "labelled")
+    rows = save(spark, with_features(one.select("doc_id", "domain", "row.text", "row.lang"), ["domain"]).withColumn("words", with_stems()), "labelled")
     k = range(len(DOMAINS))
     moments = [F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{m}") for c in SHAPE for m, f in (("m", F.avg), ("v", F.var_pop))]]
     stats = {r["domain"]: r for r in rows.groupBy("domain").agg(*moments).collect()}
