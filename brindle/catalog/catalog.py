@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..dialect import ast as A
 from ..plans.lower import SQLError
-from .postings import build
+from .postings import build, read
 
 SPARK_TYPES = {"INT": T.LongType(), "FLOAT": T.DoubleType(), "TEXT": T.StringType(), "JSON": T.StringType(), "JSONB": T.VariantType()}
 ROWID = "__rowid"
@@ -31,6 +31,7 @@ class Index:
     method: str
     tokenizer: str | None
     view: str | None = None  # the posting table of a GIN index
+    parts: list[str] = field(default_factory=list)  # the folders of that
 
 
 @dataclass
@@ -140,22 +141,28 @@ class Catalog:
         except SQLError:
             self.discard(Table(table.name, table.view, paths=[path]))
             raise
-        built = {name: build(self.spark, df, i.columns[0], i.tokenizer or "word", ROWID, f"{path}-{name}") for name, i in table.indexes.items() if i.method == "GIN"}
+        for name, i in table.indexes.items():
+            if i.method == "GIN":
+                build(df, i.columns[0], i.tokenizer or "word", ROWID, f"{path}-{name}")
         df.createOrReplaceTempView(table.view)
-        for name, postings in built.items():
-            self.show(table.indexes[name], postings)
+        for name, i in table.indexes.items():
+            if i.method == "GIN":
+                self.show(i, [f"{path}-{name}"])
         table.version += 1
         table.paths.append(path)
         self.discard(table, KEPT_VERSIONS)
 
-    def show(self, index: Index, postings: DataFrame) -> None:
+    def show(self, index: Index, parts: list[str]) -> None:
+        index.parts = parts
         index.view = index.view or f"brindle_p_{uuid.uuid4().hex}"
-        postings.createOrReplaceTempView(index.view)
+        read(self.spark, index.tokenizer or "word", parts).createOrReplaceTempView(index.view)
 
     def add_index(self, table: Table, index: Index) -> None:
         """Put an index on a table; a GIN index of a managed one gets its posting table."""
         if table.managed and index.method == "GIN":
-            self.show(index, build(self.spark, self.rows(table), index.columns[0], index.tokenizer or "word", ROWID, f"{table.paths[-1]}-{index.name}"))
+            part = f"{table.paths[-1]}-{index.name}"
+            build(self.rows(table), index.columns[0], index.tokenizer or "word", ROWID, part)
+            self.show(index, [part])
         table.indexes[index.name] = index
 
     def check(self, table: Table, df: DataFrame) -> None:

@@ -1,4 +1,5 @@
-"""GIN indexes as posting tables: (token, id) rows sorted by token, so that a search reads the row groups of its tokens.
+"""GIN indexes as posting tables. A text index has (token, ids) rows, the ids of a piece of the rows, sorted by token in
+each file, so that a search reads the pages of its tokens; a JSONB index has (token, id) rows in ranges of tokens.
 
 Tokens follow from the index's tokenizer: ``word`` the words of a text in lower case, ``bigram`` its pairs of
 neighbouring characters in lower case, ``jsonb_path_ops`` one ``path=value`` for each scalar of a JSONB document, a
@@ -7,27 +8,112 @@ backslash before what is no word character in a key.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json as J
 
-WORD_BREAKS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
-ROWS_OF_FILE = 4_000_000  # postings of one file, about
+ROWS_OF_FILE = 4_000_000  # postings of one file of a JSONB index, about
+PIECE, PIECE_TOKENS = 2_000_000, 500_000  # postings and words that a task holds at once, about
+TEXTS = 512  # taken out of an Arrow batch at once
+#: All ASCII but a-z and 0-9 parts words; everything else is inside them.
+SPACED = bytes(c if c > 127 or chr(c).isdigit() or chr(c).islower() else 32 for c in range(256))
+NARROW = 256  # characters with a code of their own: pairs of them are told apart by a table
+
+
+class Words:
+    """Distinct words of texts in lower case, as numbers."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+
+    def of(self, text: bytes) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, set(text.translate(SPACED).split())), np.int64)
+
+    def full(self) -> bool:
+        return len(self.numbers) >= PIECE_TOKENS
+
+    def texts(self, numbers: np.ndarray) -> list[bytes]:
+        names = list(self.numbers)
+        out = [names[n] for n in numbers]
+        self.numbers.clear()
+        return out
+
+
+class Bigrams:
+    """Distinct pairs of neighbouring characters, as numbers: the first character's, 21 bits, the second's."""
 
+    def __init__(self):
+        self.codes = np.full(0x110000, -1, np.int64)  # of the first NARROW characters that were met
+        self.chars = np.zeros(NARROW, np.int64)
+        self.known = 0
+        self.seen = np.zeros(NARROW * NARROW, bool)
 
-def words(rows: DataFrame, column: str, rowid: str) -> DataFrame:
-    """(token, id) of the distinct words in lower case."""
-    found = F.array_distinct(F.split(F.lower(F.col(column)), WORD_BREAKS))
-    return rows.select(F.explode(found).alias("token"), F.col(rowid).alias("id")).where("token <> ''")
+    def of(self, text: bytes) -> np.ndarray:
+        # bytes that are no UTF-8 are characters, too
+        chars = np.frombuffer(text.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = self.codes[chars]
+        if self.known < NARROW and codes.size and codes.min() < 0:
+            new = np.unique(chars[codes < 0])[: NARROW - self.known]
+            self.codes[new] = np.arange(self.known, self.known + new.size)
+            self.chars[self.known : self.known + new.size] = new
+            self.known += new.size
+            codes = self.codes[chars]
+        if codes.size and codes.min() < 0:
+            wide = chars.astype(np.int64)
+            return np.unique(wide[:-1] << 21 | wide[1:])
+        pairs = codes[:-1] * NARROW + codes[1:]
+        self.seen[pairs] = True
+        found = np.flatnonzero(self.seen)
+        self.seen[found] = False
+        return self.chars[found // NARROW] << 21 | self.chars[found % NARROW]
 
+    def full(self) -> bool:
+        return False
 
-def bigrams(rows: DataFrame, column: str, rowid: str) -> DataFrame:
-    """(token, id) of the distinct pairs of neighbouring characters in lower case. The characters are a column of their
-    own: a text inside a lambda would be cut again for each pair."""
-    chars = rows.select(F.split(F.lower(F.col(column)), "").alias("chars"), F.col(rowid).alias("id"))
-    pairs = F.transform("chars", lambda c, i: F.concat(c, F.get(F.col("chars"), i + 1)))
-    return chars.select(F.explode(F.array_distinct(pairs)).alias("token"), "id").where("length(token) = 2")
+    def texts(self, numbers: np.ndarray) -> list[bytes]:
+        return [(chr(n >> 21) + chr(n & 0x1FFFFF)).encode("utf-8", "surrogateescape") for n in numbers.tolist()]
+
+
+def grouped(tokens: Words | Bigrams, ids: list[int], numbers: list[np.ndarray]) -> pa.RecordBatch:
+    """(token, ids) of a piece."""
+    owners = np.repeat(np.array(ids, np.int64), [len(n) for n in numbers])
+    flat = np.concatenate(numbers)
+    order = np.argsort(flat, kind="stable")
+    found, starts = np.unique(flat[order], return_index=True)
+    texts = pa.array(tokens.texts(found), pa.binary()).view(pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)), pa.int32()), pa.array(owners[order], pa.int64()))
+    return pa.record_batch([texts, lists], ["token", "ids"])
+
+
+def pieces(kind: Callable[[], Words | Bigrams]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(text, id) to (token, ids): the rows of a task in pieces of about PIECE postings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ids, numbers, size = kind(), [], [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(at, TEXTS)
+                for text, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    found = tokens.of(text)
+                    if not found.size:
+                        continue
+                    ids.append(i)
+                    numbers.append(found)
+                    size += found.size
+                    if size >= PIECE or tokens.full():
+                        yield grouped(tokens, ids, numbers)
+                        ids, numbers, size = [], [], 0
+        if ids:
+            yield grouped(tokens, ids, numbers)
+
+    return run
 
 
 def paths(rows: DataFrame, column: str, rowid: str) -> DataFrame:
@@ -52,9 +138,21 @@ def paths(rows: DataFrame, column: str, rowid: str) -> DataFrame:
         spark.catalog.dropTempView("brindle_json_inner")
 
 
-def build(spark: SparkSession, rows: DataFrame, column: str, tokenizer: str, rowid: str, path: str) -> DataFrame:
-    """Write the postings of a table's column; ranges of tokens, sorted, a hot token in as many files as it fills."""
-    postings = {"word": words, "bigram": bigrams, "jsonb_path_ops": paths}[tokenizer](rows, f"`{column}`", rowid)
-    # a token may be in any number of rows: ranges are of (token, id)
-    postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.option("maxRecordsPerFile", ROWS_OF_FILE).parquet(path)
-    return spark.read.schema("token string, id long").parquet(path)
+def build(rows: DataFrame, column: str, tokenizer: str, rowid: str, path: str) -> None:
+    """Write the postings of a table's column. Texts are tokenized once, where they are read, and nothing is dealt out: a
+    file has the tokens of its own rows, a hot token some rows in each. A JSONB column's are ranges of tokens."""
+    if tokenizer == "jsonb_path_ops":
+        # a token may be in any number of rows: ranges are of (token, id)
+        postings = paths(rows, f"`{column}`", rowid).repartitionByRange("token", "id").sortWithinPartitions("token", "id")
+        postings.write.option("maxRecordsPerFile", ROWS_OF_FILE).parquet(path)
+        return
+    texts = rows.where(F.col(f"`{column}`").isNotNull()).select(F.lower(F.col(f"`{column}`")).cast("binary").alias("text"), F.col(rowid).alias("id"))
+    postings = texts.mapInArrow(pieces({"word": Words, "bigram": Bigrams}[tokenizer]), "token string, ids array<long>")
+    postings.sortWithinPartitions("token").write.parquet(path)
+
+
+def read(spark: SparkSession, tokenizer: str, parts: list[str]) -> DataFrame:
+    """(token, id) of what build() wrote."""
+    if tokenizer == "jsonb_path_ops":
+        return spark.read.schema("token string, id long").parquet(*parts)
+    return spark.read.schema("token string, ids array<long>").parquet(*parts).select("token", F.explode("ids").alias("id"))

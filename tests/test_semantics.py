@@ -203,3 +203,42 @@ def test_posting_tables(spark, e):
             assert values(e.sql(f"SELECT id FROM found{i} WHERE {where} ORDER BY id")) == want, (tokenizer, where)
     plan = values(e.sql("EXPLAIN SELECT id FROM found0 WHERE body @@ 'cat'"))[0]
     assert plan[3] == "fulltext" and "EqualTo(token,cat)" in plan[7] and "body" not in plan[7].split("ReadSchema: struct<")[1]
+
+
+ODD_TEXTS = ["The cat, the CAT", None, "", "a", "ab", "İstanbul ẞtraße ÜBER", "naïve 😀😀 x\ty\nz_1", "a.b--c'd", "京都タワー 東京", "".join(chr(c) for c in range(0x4E00, 0x5000)), "İ K ﬀ", "x" * 5000, "one one two"]
+
+
+def test_postings_of_texts(spark, e):
+    """A text index has each word or pair of a text once, a row for many texts, whatever the text."""
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS * 40)], "id long, body string").repartition(2).cache()
+    e.register("given", rows)
+    for tokenizer in ("word", "bigram"):
+        e.sql(f"CREATE TABLE {tokenizer}s (id INT, body TEXT)")
+        e.sql(f"INSERT INTO {tokenizer}s SELECT id, body FROM given")
+        e.sql(f"CREATE INDEX g ON {tokenizer}s (body) USING GIN WITH (tokenizer='{tokenizer}')")
+        table = e.catalog.table(None, f"{tokenizer}s")
+        parts = spark.sql(r"SELECT __rowid AS id, explode(split(lower(body), '[^a-z0-9\\x{80}-\\x{10FFFF}]+')) AS token FROM " + table.view).where("token <> ''")
+        if tokenizer == "bigram":
+            parts = spark.sql(f"SELECT __rowid AS id, explode(transform(sequence(1, greatest(length(lower(body)) - 1, 1)), i -> substring(lower(body), i, 2))) AS token FROM {table.view}").where("length(token) = 2")
+        want = sorted(values(parts.select("token", "id").distinct()))
+        assert sorted(values(spark.table(table.indexes["g"].view))) == want
+        written = spark.read.parquet(*table.indexes["g"].parts)
+        assert written.count() <= 2 * len({t for t, _ in want}) < len(want)
+
+
+def test_pieces_of_postings(monkeypatch):
+    """A task that is full writes a piece and goes on; nothing is lost or doubled."""
+    import pyarrow as pa
+
+    from brindle.catalog import postings as P
+
+    texts = [f"{chr(97 + i % 26)}b cd é{i} cd".encode() for i in range(100)]
+    batch = pa.record_batch([pa.array(texts, pa.binary()), pa.array(range(100), pa.int64())], ["text", "id"])
+    for kind in (P.Words, P.Bigrams):
+        found = []
+        for piece in (1 << 30, 7, 1):
+            monkeypatch.setattr(P, "PIECE", piece)
+            out = list(P.pieces(kind)(iter([batch, batch.slice(0, 0)])))
+            found.append(sorted((t, i) for b in out for t, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i in ids))
+            assert (len(out) == 1) == (piece > 7)
+        assert found[0] == found[1] == found[2] and len(set(found[0])) == len(found[0])
