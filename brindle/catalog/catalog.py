@@ -21,6 +21,7 @@ from .postings import build, read
 SPARK_TYPES = {"INT": T.LongType(), "FLOAT": T.DoubleType(), "TEXT": T.StringType(), "JSON": T.StringType(), "JSONB": T.VariantType()}
 ROWID = "__rowid"
 KEPT_VERSIONS = 3  # of a table: results that were not read yet may stand on the last ones
+MOST_PARTS = 8  # of a posting table: with more of them it is built anew
 
 
 @dataclass
@@ -31,7 +32,7 @@ class Index:
     method: str
     tokenizer: str | None
     view: str | None = None  # the posting table of a GIN index
-    parts: list[str] = field(default_factory=list)  # the folders of that
+    parts: list[str] = field(default_factory=list)  # the folders of that: rows that came later have one of their own
 
 
 @dataclass
@@ -45,7 +46,8 @@ class Table:
     indexes: dict[str, Index] = field(default_factory=dict)
     version: int = 0
     load: Callable[[], DataFrame] | None = None
-    paths: list[str] = field(default_factory=list)  # of its versions that are still there, oldest first
+    versions: list[list[str]] = field(default_factory=list)  # the folders of each that is still there, its own first, oldest first
+    top: int = 0  # the largest row id ever given: ids that deleted rows leave in postings must not come again
 
     def column(self, name: str) -> A.ColumnDef:
         for c in self.columns:
@@ -84,12 +86,16 @@ class Catalog:
         return self._root
 
     def discard(self, table: Table, keep: int = 0) -> None:
-        """Remove a table's versions but the newest ``keep``."""
-        old = max(0, len(table.paths) - keep)
-        for path in table.paths[:old]:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path).getParent()  # of this version and its postings alone
+        """Remove a table's versions but the newest ``keep``; postings stay while one of these has them."""
+        old = max(0, len(table.versions) - keep)
+        kept = {path for version in table.versions[old:] for path in version}
+        for path in dict.fromkeys(path for version in table.versions[:old] for path in version if path not in kept):
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path).getParent()  # of this alone
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-        del table.paths[:old]
+        del table.versions[:old]
+
+    def folder(self, table: Table, version: str) -> str:
+        return f"{self.root.rstrip('/')}/brindle-{table.name}-{uuid.uuid4().hex}/{version}"
 
     def database(self, name: str | None) -> dict[str, Table]:
         key = (name or self.current).lower()
@@ -130,26 +136,34 @@ class Catalog:
     def rows(self, table: Table) -> DataFrame:
         return self.spark.table(table.view)
 
-    def publish(self, table: Table, rows: DataFrame) -> None:
-        """Write rows as the next version, check it, point the table at it."""
-        path = f"{self.root.rstrip('/')}/brindle-{table.name}-{uuid.uuid4().hex}/v{table.version + 1}"
+    def publish(self, table: Table, rows: DataFrame, changed: set[str] | None = None, since: int | None = None) -> None:
+        """Write rows as the next version, check it, point the table at it. Postings of a column that is not among the
+        ``changed`` ones (None: all are) stay; those of rows with ids above ``since`` (None: there are none) are added.
+        Ids of rows that are gone find no row."""
+        version = f"v{table.version + 1}"
+        path = self.folder(table, version)
         rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in table.schema()]).write.parquet(path)
         df = self.spark.read.schema(table.schema()).parquet(path)
         df = df.select(*[F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) if f.metadata else F.col(f"`{f.name}`") for f in table.schema()])
         try:
             self.check(table, df)
         except SQLError:
-            self.discard(Table(table.name, table.view, paths=[path]))
+            self.discard(Table(table.name, table.view, versions=[[path]]))
             raise
+        parts = {}
         for name, i in table.indexes.items():
             if i.method == "GIN":
-                build(df, i.columns[0], i.tokenizer or "word", ROWID, f"{path}-{name}")
+                kept = changed is not None and i.columns[0].lower() not in changed and len(i.parts) + (since is not None) <= MOST_PARTS
+                parts[name] = list(i.parts) if kept else []
+                if not kept or since is not None:
+                    parts[name].append(self.folder(table, f"{version}-{name}"))
+                    build(df.where(F.col(ROWID) > since) if kept else df, i.columns[0], i.tokenizer or "word", ROWID, parts[name][-1])
+        table.top = max(table.top, df.agg(F.max(ROWID).alias("m")).first()["m"] or 0)
         df.createOrReplaceTempView(table.view)
-        for name, i in table.indexes.items():
-            if i.method == "GIN":
-                self.show(i, [f"{path}-{name}"])
+        for name, folders in parts.items():
+            self.show(table.indexes[name], folders)
         table.version += 1
-        table.paths.append(path)
+        table.versions.append([path, *(folder for folders in parts.values() for folder in folders)])
         self.discard(table, KEPT_VERSIONS)
 
     def show(self, index: Index, parts: list[str]) -> None:
@@ -160,9 +174,10 @@ class Catalog:
     def add_index(self, table: Table, index: Index) -> None:
         """Put an index on a table; a GIN index of a managed one gets its posting table."""
         if table.managed and index.method == "GIN":
-            part = f"{table.paths[-1]}-{index.name}"
+            part = self.folder(table, f"v{table.version}-{index.name}")
             build(self.rows(table), index.columns[0], index.tokenizer or "word", ROWID, part)
             self.show(index, [part])
+            table.versions[-1].append(part)
         table.indexes[index.name] = index
 
     def check(self, table: Table, df: DataFrame) -> None:

@@ -146,7 +146,7 @@ class Engine:
                 raise SQLError("the last column cannot be dropped")
             new = replace_table(t, [c for c in t.columns if c is not gone], [k for k in t.keys if gone.name.lower() not in {x.lower() for x in k}])
             new.indexes = {n: i for n, i in t.indexes.items() if gone.name.lower() not in {c.lower() for c in i.columns}}
-        self.catalog.publish(new, rows)
+        self.catalog.publish(new, rows, set())
         self.catalog.database(s.table.database)[t.name.lower()] = new
         return self.message("table altered")
 
@@ -237,8 +237,7 @@ class Engine:
 
         new = self.lowered(build)
         old = self.catalog.rows(t)
-        top = old.agg(F.coalesce(F.max(ROWID), F.lit(0)).alias("m")).first()["m"]
-        self.catalog.publish(t, old.unionByName(new.withColumn(ROWID, F.monotonically_increasing_id() + top + 1)))
+        self.catalog.publish(t, old.unionByName(new.withColumn(ROWID, F.monotonically_increasing_id() + t.top + 1)), set(), t.top)
         n = self.catalog.rows(t).count() - old.count() if s.query is not None else len(s.rows)
         return self.message(f"{n} row{'s' * (n != 1)} inserted")
 
@@ -269,7 +268,7 @@ class Engine:
             cols = [f"CASE WHEN __match THEN {sets[c.name]} ELSE {tick(c.name)} END AS {tick(c.name)}" if c.name in sets else tick(c.name) for c in t.columns]
             return self.spark.sql(f"SELECT {', '.join(cols)}, {ROWID} FROM {view} AS {tick(t.name)}")
 
-        self.catalog.publish(t, self.lowered(build))
+        self.catalog.publish(t, self.lowered(build), {n.lower() for n, _ in s.sets})
         return self.message(f"{changed.get['n']} rows updated")
 
     def mark(self, low: Lowering, t: Table, match: str) -> DataFrame:
@@ -287,9 +286,9 @@ class Engine:
             marked = self.spark.sql(f"SELECT *, ({match}) AS __match FROM {t.view} AS {tick(t.name)}") if s.limit is None else self.mark(low, t, match)
             return marked.observe(changed, F.count_if("__match").alias("n")).where("NOT __match").drop("__match")
 
-        self.catalog.publish(t, self.lowered(build))
+        self.catalog.publish(t, self.lowered(build), set())
         return self.message(f"{changed.get['n']} rows deleted")
 
 
 def replace_table(t: Table, columns: list, keys: list) -> Table:
-    return Table(t.name, t.view, columns, True, keys, t.primary, dict(t.indexes), t.version, paths=t.paths)
+    return Table(t.name, t.view, columns, True, keys, t.primary, dict(t.indexes), t.version, versions=t.versions, top=t.top)

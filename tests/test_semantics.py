@@ -242,3 +242,36 @@ def test_pieces_of_postings(monkeypatch):
             found.append(sorted((t, i) for b in out for t, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i in ids))
             assert (len(out) == 1) == (piece > 7)
         assert found[0] == found[1] == found[2] and len(set(found[0])) == len(found[0])
+
+
+def test_postings_kept_by_changes(spark, e, tmp_path):
+    """A change leaves the postings of rows it does not touch: new rows add a part, gone ones are found no more."""
+    e.sql("CREATE TABLE notes (id INT PRIMARY KEY, body TEXT, n INT, doc JSONB)")
+    e.sql("""INSERT INTO notes VALUES (1, 'red cat', 0, '{"a":1}'), (2, 'red dog', 0, '{"a":2}'), (3, 'blue cat', 0, '{"a":1}')""")
+    e.sql("CREATE INDEX w ON notes (body) USING GIN")
+    e.sql("CREATE INDEX j ON notes (doc) USING GIN")
+    indexes = lambda: e.catalog.table(None, "notes").indexes
+    found = lambda where: [r[0] for r in values(e.sql(f"SELECT id FROM notes WHERE {where} ORDER BY id"))]
+    first = {n: list(i.parts) for n, i in indexes().items()}
+    before = e.sql("SELECT id FROM notes WHERE body @@ 'cat'")
+    e.sql("DELETE FROM notes WHERE id = 3")
+    e.sql("UPDATE notes SET n = 5 WHERE id = 1")
+    assert sorted(values(before)) == [(1,), (3,)]  # read late
+    e.sql("ALTER TABLE notes ADD COLUMN more TEXT")
+    assert {n: i.parts for n, i in indexes().items()} == first
+    e.sql("""INSERT INTO notes (id, body, doc) VALUES (4, 'green bird', '{"a":3}'), (5, NULL, NULL)""")
+    assert [i.parts[:-1] for i in indexes().values()] == list(first.values())
+    assert [r[0] for r in values(spark.read.parquet(indexes()["w"].parts[-1]).select("token").orderBy("token"))] == ["bird", "green"]
+    assert found("body @@ 'cat'") == [1] and found("body @@ 'blue'") == [] and found("body @@ 'bird' OR body @@ 'dog'") == [2, 4] and found("JSON_VALUE(doc, '$.a') IN ('1', '3')") == [1, 4]
+    e.sql("UPDATE notes SET body = 'white cat' WHERE id = 2")
+    assert len(indexes()["w"].parts) == 1 and len(indexes()["j"].parts) == 2
+    assert found("body @@ 'dog'") == [] and found("body @@ 'cat'") == [1, 2] and found("NOT body @@ 'cat'") == [4, 5]
+    for i in range(6, 17):
+        e.sql(f"INSERT INTO notes (id, body) VALUES ({i}, 'cat {i}')")
+        assert len(indexes()["w"].parts) <= 8
+    assert found("body @@ 'cat' AND id > 5") == list(range(6, 17)) and found("body @@ '11'") == [11]
+    e.sql("TRUNCATE TABLE notes")
+    e.sql("INSERT INTO notes (id, body) VALUES (1, 'other')")
+    assert found("body @@ 'cat'") == [] and found("body @@ 'other'") == [1]
+    e.sql("DROP TABLE notes")
+    assert not [p for p in (tmp_path / "tables").glob("brindle-notes-*/*") if p.is_dir()]
