@@ -1,6 +1,7 @@
 """What the oracle cannot say: NULL logic, errors, changes, constraints, JSON details."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle import Engine
 from brindle.dialect.lexer import SQLSyntaxError
@@ -275,3 +276,14 @@ def test_postings_kept_by_changes(spark, e, tmp_path):
     assert found("body @@ 'cat'") == [] and found("body @@ 'other'") == [1]
     e.sql("DROP TABLE notes")
     assert not [p for p in (tmp_path / "tables").glob("brindle-notes-*/*") if p.is_dir()]
+
+
+def test_like_by_pairs(spark, e):
+    """LIKE looks its pairs up in (token, ids) rows, of all parts."""
+    e.sql("CREATE TABLE pairs (id INT, body TEXT)")
+    e.sql("INSERT INTO pairs VALUES (1, 'A License'), (2, 'a license'), (3, 'Lic ense'), (4, NULL)")
+    e.sql("CREATE INDEX g ON pairs (body) USING GIN WITH (tokenizer='bigram')")
+    e.sql("INSERT INTO pairs VALUES (5, 'Licenses')")
+    assert values(e.sql("SELECT id FROM pairs WHERE body LIKE '%License%' ORDER BY id")) == [(1,), (5,)]
+    parts = e.catalog.table(None, "pairs").indexes["g"].parts
+    assert values(spark.read.parquet(parts[0]).where("token = 'li'").select(F.sum(F.size("ids")))) == [(3,)] and len(parts) == 2
