@@ -287,3 +287,14 @@ def test_like_by_pairs(spark, e):
     assert values(e.sql("SELECT id FROM pairs WHERE body LIKE '%License%' ORDER BY id")) == [(1,), (5,)]
     parts = e.catalog.table(None, "pairs").indexes["g"].parts
     assert values(spark.read.parquet(parts[0]).where("token = 'li'").select(F.sum(F.size("ids")))) == [(3,)] and len(parts) == 2
+
+
+def test_equal_by_words(spark, e):
+    """= and IN look their words up in the parts of an index; new rows are written there alone."""
+    e.sql("CREATE TABLE said (id INT, body TEXT)")
+    e.sql("INSERT INTO said VALUES (1, 'one two'), (2, 'three')")
+    e.sql("CREATE INDEX g ON said (body) USING GIN")
+    e.sql("INSERT INTO said VALUES (3, 'one two'), (4, 'two one'), (5, 'One Two')")
+    assert values(e.sql("SELECT id FROM said WHERE body = 'one two' OR body IN ('One Two', 'three') ORDER BY id")) == [(1,), (2,), (3,), (5,)]
+    new = spark.read.parquet(e.catalog.table(None, "said").indexes["g"].parts[1]).selectExpr("token", "explode(ids)")
+    assert sorted(r[0] for r in values(new)) == ["one"] * 3 + ["two"] * 3
